@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
+from .license_scan import op5_license_scan
+from .packing import op6_packing
+from .quality_classifier import op1_quality_classifier
+from .quality_rules import op8_quality_rules
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_token_counts": op2_token_counts,
         "op3_token_files": op3_token_files,
+        "op4_toxicity": op4_toxicity,
+        "op5_license_scan": op5_license_scan,
+        "op6_packing": op6_packing,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_language_id": op10_language_id,
     }
 
 
