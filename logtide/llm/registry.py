@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .language_id import op10_language_id
 from .license_scan import op5_license_scan
 from .packing import op6_packing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_license_scan": op5_license_scan,
         "op6_packing": op6_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_quality_rules": op8_quality_rules,
         "op10_language_id": op10_language_id,
     }
