@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .license_scan import op5_license_scan
 from .packing import op6_packing
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_decontamination": op7_decontamination,
         "op8_quality_rules": op8_quality_rules,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
     }
 
