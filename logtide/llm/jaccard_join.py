@@ -146,7 +146,7 @@ def heavy_shingles(docs: DataFrame, width: int = WIDTH, keep: int = HEAVY) -> tu
     return h[order], w[order]
 
 
-def document_sets(docs: DataFrame, heavy, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+def document_sets(docs: DataFrame, heavy, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: its key, size, class and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -339,13 +339,13 @@ def components(edges: DataFrame) -> DataFrame:
 # --- operator -----------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable), and the columns ``carry``."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable); then what names the row's
+    id and text (k1, k2) and its component (``component``; null without words)."""
     texts = keyed(docs, id_col, text)
-    first = C.stored(document_sets(keyed(docs, id_col, text, carry), heavy_shingles(texts, width), width, percent, carry))
-    kept = [f"_c_{c}" for c in carry]
+    first = C.stored(document_sets(texts, heavy_shingles(texts, width), width, percent))
     reps = C.stored(first.where("node is not null").select("node", "n", "k1", "k2", "prefix").dropDuplicates(["node"]))
-    rows = C.stored(first.drop("prefix", "k1", "k2"))
+    rows = C.stored(first.drop("prefix"))
     C.dropped(first)
     shared = C.stored(columns(reps))
     pair = [F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")]
@@ -369,10 +369,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = own.join(found.select(F.col("v").alias("node"), F.col("m").alias("comp")), "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
     named = C.stored(named)
     best = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_node = C.stored(named.join(best, "comp").select("node", "component_id"))
+    of_node = C.stored(named.join(best, "comp").select("node", "component_id", F.col("comp").alias("component")))
     out = rows.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *[F.col(k).alias(k.removeprefix("_c_")) for k in kept])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k1", "k2", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component (the one with the smallest
+    id; of equal ids, any one text, once). Texts without words link with nothing and stay."""
+    comp = C.stored(jaccard_components(docs, id_col, text, width, percent).where("component is not null").select("component", "doc_id", "k1", "k2"))
+    best = comp.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k1", "k2")).alias("s"), F.count("*").alias("size")).where("size > 1")
+    best = C.stored(best.select("component", F.col("s.k1").alias("b1"), F.col("s.k2").alias("b2")))
+    rows = comp.join(best, "component")
+    chosen = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))
+    losers = C.stored(rows.where(~chosen).select("k1", "k2").distinct())
+    again = C.stored(rows.where(chosen).groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"))
+    bound = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    left = keyed(docs, id_col, text, tuple(docs.columns)).drop("doc_id", "text").join(bound(losers), ["k1", "k2"], "left_anti")
+    if again.limit(1).count():  # a chosen row that the input repeats
+        once = left.join(bound(again), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        left = left.join(bound(again), ["k1", "k2"], "left_anti").unionByName(once)
+    return left.select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(C.table(spark, sf_dir, "documents"))
+    return jaccard_components(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

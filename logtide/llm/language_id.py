@@ -141,6 +141,7 @@ _tables: dict = {}
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, profile: int = PROFILE, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score; and the columns ``carry``, behind them."""
+    drop, others = {"_text"} - {"_text" for c in carry if c == text}, [c for c in carry if c != text]
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
@@ -152,14 +153,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
             flat, n = text_slots(texts)
             ends = np.cumsum(n)
             got = [nearest(flat[e - m : e], names, table, profile) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
-            kept = [c for c in part.schema.names if c != "_text"]
+            kept = [c for c in part.schema.names if c not in drop]
             yield pa.RecordBatch.from_arrays([*[C.column(part, c) for c in kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     out = F.coalesce(C.crc_fold(id_col, folds) == held_out, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), *[F.col(c).alias(f"_c_{c}") for c in carry], F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), *[F.col(c).alias(f"_c_{c}") for c in others], F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in drop)
     done = C.map_arrow(rows, run, f"{fields}, lang_pred string, score double")
-    return done.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return done.select("doc_id", "held_out", "lang_pred", "score", *[F.col("_text" if c == text else f"_c_{c}").alias(c) for c in carry])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

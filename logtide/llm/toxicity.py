@@ -281,6 +281,7 @@ def spans(text: bytes, p: np.ndarray) -> list[dict]:
 
 def tag(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str = "text", cut: float = CUT, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic (tokens), spans; and the columns ``carry``, behind them."""
+    drop, others = {"_text"} - {"_text" for c in carry if c == text}, [c for c in carry if c != text]
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
@@ -304,15 +305,15 @@ def tag(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str
                 highest, count = per_document(p, n)
                 score, ends = f.score(highest, count), np.cumsum(n)
                 found = [spans(t, p[b - m : b]) if c else [] for t, b, m, c in zip(texts, ends.tolist(), n.tolist(), count.tolist(), strict=True)]
-            kept = [c for c in part.schema.names if c != "_text"]
+            kept = [c for c in part.schema.names if c not in drop]
             new = [pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32()), pa.array(count.astype(np.int64), pa.int64()), pa.array(found, _span)]
             yield pa.RecordBatch.from_arrays([*[C.column(part, c) for c in kept], *new], names=[*kept, "score", "predicted", "n_toxic", "spans"])
 
     out = F.coalesce(C.crc_fold(id_col, FOLDS) == HELD_OUT, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), *[F.col(c).alias(f"_c_{c}") for c in carry], F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), *[F.col(c).alias(f"_c_{c}") for c in others], F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in drop)
     done = C.map_arrow(rows, run, f"{fields}, score double, predicted int, n_toxic long, spans array<struct<begin:long,end:long,probability:double>>")
-    return done.select("doc_id", "held_out", "score", "predicted", "n_toxic", "spans", *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return done.select("doc_id", "held_out", "score", "predicted", "n_toxic", "spans", *[F.col("_text" if c == text else f"_c_{c}").alias(c) for c in carry])
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> Field | None:
