@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import oracles, tables
+
 
 def queries() -> dict:
-    return {}
+    return dict(tables.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
