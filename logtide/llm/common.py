@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Words handled at once inside a task; bounds the memory of a Python worker.
 BLOCK_BYTES = 3_000_000
-#: Entries of a worker's word cache; it starts afresh when full.
-CACHE_ENTRIES = 400_000
+#: Entries of one generation of a worker's word cache.
+CACHE_ENTRIES = 450_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,64 +139,78 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 200
 
 
 class WordCache(dict):
-    """word -> number, through ``make`` on a miss; forgets all when it is full."""
+    """word -> number, through ``make`` on a miss. When it is full it becomes the old
+    generation, from which words come back as they are met again; the rest is forgotten
+    at the next change. So frequent words stay, and at most 2 x ``most`` are held."""
 
     def __init__(self, make: Callable[[bytes], int], most: int = CACHE_ENTRIES):
         super().__init__()
         self.make, self.most = make, most
+        self.old: dict = {}
 
     def __missing__(self, word: bytes):
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
 
 
-class VectorCache(WordCache):
-    """word -> row number of a growing table of small integer vectors (CSR)."""
+class VectorCache(dict):
+    """word -> row number of a growing table of small vectors (CSR), in two generations as above.
 
-    def __init__(self, vector: Callable[[bytes], Sequence[int]], dtype, most: int = CACHE_ENTRIES):
-        super().__init__(self._add, most)
-        self.vector, self.dtype = vector, dtype
-        self._reset()
+    ``code``: the vectors' type, as array.array names it."""
 
-    def _reset(self) -> None:
+    def __init__(self, vector: Callable[[bytes], Sequence[int]], code: str, most: int = CACHE_ENTRIES):
+        super().__init__()
+        self.vector, self.code, self.most = vector, code, most
+        self.old: dict = {}
+        self.old_values, self.old_ends = array(code), array("q", [0])
+        self._fresh()
+
+    def _fresh(self) -> None:
         self.clear()
-        self.values = np.empty(1 << 16, self.dtype)
-        self.ends = [0]
-        self._ends = np.zeros(1, np.int64)
-
-    def _add(self, word: bytes) -> int:
-        v = self.vector(word)
-        a = self.ends[-1]
-        b = a + len(v)
-        if b > len(self.values):
-            self.values = np.concatenate([self.values, np.empty(max(len(self.values), b), self.dtype)])
-        self.values[a:b] = v
-        self.ends.append(b)
-        return len(self.ends) - 2
+        self.values, self.ends = array(self.code), array("q", [0])
+
+    def row(self, r: int) -> array:
+        return self.values[self.ends[r] : self.ends[r + 1]]
+
+    def __missing__(self, word: bytes) -> int:
+        r = self.old.get(word)
+        v = self.vector(word) if r is None else self.old_values[self.old_ends[r] : self.old_ends[r + 1]]
+        self.values.extend(v)
+        self.ends.append(len(self.values))
+        r = self[word] = len(self.ends) - 2
+        return r
 
     def trim(self) -> None:
         if len(self) > self.most:
-            self._reset()
+            self.old, self.old_values, self.old_ends = dict(self), self.values, self.ends
+            self._fresh()
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Views of values and ends; to be let go before the cache grows again."""
+        return np.frombuffer(self.values, self.code) if len(self.values) else np.empty(0, self.code), np.frombuffer(self.ends, np.int64)
 
     def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of these rows one after another, and the length of each."""
-        if len(self._ends) != len(self.ends):
-            self._ends = np.array(self.ends, np.int64)
-        begin = self._ends[rows]
-        length = self._ends[rows + 1] - begin
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-        return self.values[at], length
+        values, ends = self.table()
+        begin = ends[rows]
+        length = ends[rows + 1] - begin
+        at = np.repeat(begin - (np.cumsum(length) - length), length)
+        at += np.arange(len(at))
+        return values[at], length
 
 
 def looked_up(cache: WordCache, texts: list[list[bytes]], dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """The cached numbers of all words of all texts, and the number of words of each text."""
     n = np.fromiter(map(len, texts), np.int64, len(texts))
-    get = cache.__getitem__
-    flat = np.fromiter((get(w) for ws in texts for w in ws), dtype, int(n.sum()))
+    flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), dtype, int(n.sum()))
     return flat, n
 
 

@@ -34,7 +34,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.cache = C.VectorCache(self.ids, np.uint16, most)
+        self.cache = C.VectorCache(self.ids, "H", most)
 
     def ids(self, chunk: bytes) -> list[int]:
         if _letters.fullmatch(chunk):
@@ -46,9 +46,8 @@ class Encoder:
             return [t.id for t in self.model.tokenize("".join([_byte_table[b] for b in chunk]))]
         return self.tok.encode(word, add_special_tokens=False).ids
 
-    def cached(self, chunk: bytes) -> list[int]:
-        row = self.cache[chunk]
-        return self.cache.values[self.cache.ends[row] : self.cache.ends[row + 1]].tolist()
+    def cached(self, chunk: bytes):
+        return self.cache.row(self.cache[chunk])
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id behind it; ids of each text."""

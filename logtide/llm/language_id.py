@@ -56,12 +56,11 @@ def grams(chunk: str) -> list[int]:
 
 class Grams(C.VectorCache):
     def __init__(self):
-        super().__init__(self.of, np.uint16)
+        super().__init__(self.of, "H")
 
     def of(self, chunk: bytes):
         if m := _tail.fullmatch(chunk):  # marks behind a word add nothing
-            row = self[m[1]]
-            return self.values[self.ends[row] : self.ends[row + 1]].copy()
+            return self.row(self[m[1]])
         return grams(chunk.decode())
 
 

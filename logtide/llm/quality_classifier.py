@@ -106,7 +106,7 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.
 
 class Features(C.VectorCache):
     def __init__(self):
-        super().__init__(features, np.int32)
+        super().__init__(features, "i")
 
 
 _features: list[Features] = []

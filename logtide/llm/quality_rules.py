@@ -80,8 +80,7 @@ def statistics(text: bytes | None) -> tuple[tuple[int, int, int, int, int], list
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
     dup = len(lines) - len(set(lines))
-    get = _hashes.__getitem__
-    h = np.fromiter((get(w) for w in words), np.uint64, n)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
     repeat = repeated_words(h)
     size, per_word = max(1, len(bare)), max(1, n)
     share = lambda drop: (len(bare) - len(bare.translate(None, drop))) / size

@@ -39,7 +39,7 @@ from .encoding import worker_encoder
 VOCAB = 49_408
 BLOCK_TOKENS = 2_000_000
 MAX_RULES = 65_536 - VOCAB
-PER_ROUND, MIN_COUNT = 2_048, 16
+PER_ROUND, MIN_COUNT = 4_096, 16
 FILE_SCHEMA = "part int, block int, start long, n_tokens long, doc_ids array<long>, doc_symbols array<int>, doc_tokens array<int>, left binary, right binary, lengths binary, symbols binary"
 _file_types = {"part": pa.int32(), "block": pa.int32(), "start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "doc_symbols": pa.list_(pa.int32()), "doc_tokens": pa.list_(pa.int32()), "left": pa.binary(), "right": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary()}
 
@@ -96,16 +96,17 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, vocab: int = VOCAB) -
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
-    seq = symbols.astype(np.int64)
-    left, right = left.astype(np.int64), right.astype(np.int64)
-    while (rule := seq >= vocab).any():
-        at = np.arange(len(seq)) + np.cumsum(rule) - rule
-        out = np.empty(len(seq) + int(rule.sum()), np.int64)
-        out[at] = seq
-        out[at[rule]] = left[seq[rule] - vocab]
-        out[at[rule] + 1] = right[seq[rule] - vocab]
-        seq = out
-    return seq.astype("<u4")
+    """The ids of the symbols: every rule is written out once, then one gather does the rest."""
+    full: list[list[int]] = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        full.append((full[a - vocab] if a >= vocab else [a]) + (full[b - vocab] if b >= vocab else [b]))
+    size = np.array([len(x) for x in full], np.int64)
+    table = np.concatenate([np.arange(vocab), np.array([i for x in full for i in x], np.int64)]).astype("<u4")
+    begin = np.concatenate([np.arange(vocab), vocab + np.cumsum(size) - size])
+    length = np.concatenate([np.ones(vocab, np.int64), size])[symbols]
+    at = np.repeat(begin[symbols] - (np.cumsum(length) - length), length)
+    at += np.arange(len(at))
+    return table[at]
 
 
 def decode_block(block: dict) -> np.ndarray:

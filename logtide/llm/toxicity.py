@@ -259,7 +259,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
 
 class Contributions(C.VectorCache):
     def __init__(self, field: Field):
-        super().__init__(lambda chunk: field.word(core(chunk)), np.float32)
+        super().__init__(lambda chunk: field.word(core(chunk)), "f")
 
 
 _caches: dict = {}
@@ -296,7 +296,7 @@ def tag(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str
             else:
                 cache = _caches[key]
                 rows, n = C.looked_up(cache, [(t or b"").split() for t in texts])
-                own, before, after = cache.values[: 3 * (len(cache.ends) - 1)].reshape(-1, 3).T.astype(float)
+                own, before, after = cache.table()[0].reshape(-1, 3).T.astype(float)
                 e, inner = own[rows], _inner(n)
                 e[inner] += before[rows[inner - 1]]
                 e[inner - 1] += after[rows[inner]]

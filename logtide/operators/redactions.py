@@ -27,7 +27,10 @@ def hits(fields: Sequence[Column], rules=REDACTION_RULES) -> Column:
 
 def array_hits(fields: Column, rules=REDACTION_RULES) -> Column:
     """The same for an array of fields: names of the rules that match any of them."""
-    return F.array_compact(F.array(*[F.when(F.exists(fields, lambda f, p=pattern: rule_hit(f, p)), F.lit(name)) for name, pattern in rules]))
+    def any_field(pattern: str) -> Column:
+        return F.exists(fields, lambda f: rule_hit(f, pattern))
+
+    return F.array_compact(F.array(*[F.when(any_field(pattern), F.lit(name)) for name, pattern in rules]))
 
 
 def redaction_counts(records: DataFrame, group: Sequence[str], fields: Sequence[str], rules=REDACTION_RULES) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "logtide", **conf: str) -> SparkSession:
@@ -23,3 +25,15 @@ def importable(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes the rows to the folder in spark.checkpoint.dir and reads them back: what is
+    parsed once is used often, and a lost executor costs only its tasks."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(stored, "fallback", None)
+    if not base:
+        base = stored.fallback = tempfile.mkdtemp(prefix="scratch-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
