@@ -128,7 +128,8 @@ def nearest(slots: np.ndarray, names: list[str], table: np.ndarray, profile: int
     if not len(slots) or not names:
         return UNKNOWN, 0.0
     mine = ranked(slots, profile)
-    distance = np.abs(table[:, mine] - np.arange(len(mine))).sum(axis=1)
+    place = table[:, mine]
+    distance = np.where(place == profile, profile, np.abs(place - np.arange(len(mine)))).sum(axis=1)
     order = np.argsort(distance, kind="stable")
     best = int(distance[order[0]])
     second = int(distance[order[1]]) if len(names) > 1 else profile * len(mine)
