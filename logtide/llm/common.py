@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Words handled at once inside a task; bounds the memory of a Python worker.
 BLOCK_BYTES = 3_000_000
 #: Entries of one generation of a worker's word cache.
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -207,6 +207,18 @@ class VectorCache(dict):
         return values[at], length
 
 
+_held: list = []
+
+
+def held(key, make: Callable):
+    """The one cache that this Python worker keeps. Another operator's cache takes its
+    place, so a worker's memory doesn't grow with the stages it has served."""
+    if not _held or _held[0] != key:
+        _held.clear()
+        _held.extend((key, make()))
+    return _held[1]
+
+
 def looked_up(cache: WordCache, texts: list[list[bytes]], dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """The cached numbers of all words of all texts, and the number of words of each text."""
     n = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -70,10 +70,5 @@ class Encoder:
         return out, n + 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def worker_encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return C.held(("encoder", path), lambda: Encoder(path))

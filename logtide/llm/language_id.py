@@ -64,14 +64,9 @@ class Grams(C.VectorCache):
         return grams(chunk.decode())
 
 
-_cache: list[Grams] = []
-
-
 def text_slots(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all texts one after another, and how many each has."""
-    if not _cache:
-        _cache.append(Grams())
-    cache = _cache[0]
+    cache = C.held("grams", Grams)
     rows, n_words = C.looked_up(cache, [(t or b"").lower().split() for t in texts])
     flat, per_word = cache.spread(rows)
     at = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(n_words)])]
@@ -97,10 +92,11 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         total: dict[str, np.ndarray] = {}
         for part, texts in C.blocks(batches, "text"):
             flat, n = text_slots(texts)
-            names = np.array(C.column(part, "lang").to_pylist(), dtype=object)
-            owner = np.repeat(names, n)
-            for name in set(names.tolist()):
-                total[name] = total.get(name, 0) + np.bincount(flat[owner == name], minlength=SLOTS)
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for name, end, m in zip(C.column(part, "lang").to_pylist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
+                by_lang.setdefault(name, []).append(flat[end - m : end])
+            for name, own in by_lang.items():
+                total[name] = total.get(name, 0) + np.bincount(np.concatenate(own), minlength=SLOTS)
         for name, c in sorted(total.items()):
             have = np.flatnonzero(c)
             yield C.out_batch({"lang": pa.string(), "slot": pa.int32(), "n": pa.int64()}, lang=[name] * len(have), slot=have, n=c[have])

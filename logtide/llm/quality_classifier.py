@@ -109,9 +109,6 @@ class Features(C.VectorCache):
         super().__init__(features, "i")
 
 
-_features: list[Features] = []
-
-
 def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text: str = "text", rating: str = "rating", sample: int = SAMPLE) -> Ordinal | None:
     """``ratings``: id and rating (a whole number from 0)."""
     rows = ratings.select(F.col(id_col).alias("_id"), F.col(rating).cast("int").alias("_grade")).where(F.col("_id").isNotNull() & (F.col("_grade") >= 0))
@@ -119,13 +116,12 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("_id", "_grade", "text")
 
     def count(batches):
-        if not _features:
-            _features.append(Features())
         for part, raw in C.blocks(batches, "text"):
-            rows, n = C.looked_up(_features[0], [(t or b"").split() for t in raw])
-            flat, per = _features[0].spread(rows)
+            cache = C.held("features", Features)
+            rows, n = C.looked_up(cache, [(t or b"").split() for t in raw])
+            flat, per = cache.spread(rows)
             at = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(n)])]
-            _features[0].trim()
+            cache.trim()
             got = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield C.out_batch({"id": pa.int64(), "grade": pa.int32(), "n": pa.int64(), "slots": pa.binary(), "counts": pa.binary()}, id=C.column(part, "_id").cast(pa.int64()), grade=C.column(part, "_grade"), n=n, slots=[s.astype("<i4").tobytes() for s, _ in got], counts=[c.astype("<i4").tobytes() for _, c in got])
 
@@ -146,7 +142,6 @@ class Positions(C.WordCache):
         super().__init__(lambda chunk: float(model.weight[features(chunk)].sum()))
 
 
-_caches: dict = {}
 SCHEMA = "doc_id long, z double, expected_grade double, tail double, predicted_grade int, kept boolean"
 
 
@@ -157,10 +152,7 @@ def grade_texts(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id",
 
     def run(batches):
         m = shared.value or Ordinal(np.zeros(SLOTS), np.array([-35.0]))
-        if key not in _caches:
-            _caches.clear()
-            _caches[key] = Positions(m)
-        cache = _caches[key]
+        cache = C.held(("positions", key), lambda: Positions(m))
         for part, raw in C.blocks(batches, "text"):
             flat, n = C.looked_up(cache, [(t or b"").split() for t in raw], np.float64)
             cache.trim()

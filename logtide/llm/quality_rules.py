@@ -44,7 +44,10 @@ def _word_hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
-_hashes = C.WordCache(_word_hash)
+def _hashes() -> C.WordCache:
+    return C.held("word hashes", lambda: C.WordCache(_word_hash))
+
+
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -80,7 +83,7 @@ def statistics(text: bytes | None) -> tuple[tuple[int, int, int, int, int], list
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
     dup = len(lines) - len(set(lines))
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, n)
     repeat = repeated_words(h)
     size, per_word = max(1, len(bare)), max(1, n)
     share = lambda drop: (len(bare) - len(bare.translate(None, drop))) / size
@@ -185,7 +188,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     def measure(batches):
         for part, texts in C.blocks(batches, "text"):
             x = [statistics(t)[1] for t in texts]
-            _hashes.trim()
+            _hashes().trim()
             yield C.out_batch({"grade": pa.float64(), "x": pa.list_(pa.float64())}, grade=C.column(part, "_grade"), x=x)
 
     got = C.map_arrow(rows, measure, "grade double, x array<double>").toPandas()
@@ -204,7 +207,7 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text: st
     def run(batches):
         for part, texts in C.blocks(batches, "text"):
             got = [statistics(t) for t in texts]
-            _hashes.trim()
+            _hashes().trim()
             counts = np.array([c for c, _ in got], np.int64).reshape(-1, 5)
             model = shared.value
             score = model.score(np.array([x for _, x in got])) if model else np.ones(len(got))

@@ -94,16 +94,9 @@ class Lengths(C.WordCache):
         return self.slow(key)
 
 
-_caches: dict = {}
-
-
 def worker_cache(path: str, key: str, shared) -> Lengths:
-    """One cache for a worker's life; a new one for another table."""
-    if key not in _caches:
-        _caches.clear()
-        table = shared.value
-        _caches[key] = Lengths(path, table["hashes"], table["counts"])
-    return _caches[key]
+    """One cache for each table."""
+    return C.held(("lengths", key), lambda: Lengths(path, shared.value["hashes"], shared.value["counts"]))
 
 
 def frequent_pretokens(docs: DataFrame, text: str = "text", summary: int = SUMMARY, keep: int = FREQUENT) -> list[bytes]:

@@ -262,7 +262,6 @@ class Contributions(C.VectorCache):
         super().__init__(lambda chunk: field.word(core(chunk)), "f")
 
 
-_caches: dict = {}
 _word = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
@@ -286,15 +285,12 @@ def tag(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str
 
     def run(batches):
         f = shared.value
-        if f is not None and key not in _caches:
-            _caches.clear()
-            _caches[key] = Contributions(f)
         for part, texts in C.blocks(batches, "_text"):
             if f is None:
                 highest, found = np.zeros(len(texts)), [[] for _ in texts]
                 count, score = highest, highest
             else:
-                cache = _caches[key]
+                cache = C.held(("toxicity", key), lambda: Contributions(f))
                 rows, n = C.looked_up(cache, [(t or b"").split() for t in texts])
                 own, before, after = cache.table()[0].reshape(-1, 3).T.astype(float)
                 e, inner = own[rows], _inner(n)
