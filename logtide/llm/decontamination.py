@@ -10,7 +10,8 @@ other a proximity match. The last pass reads the documents once more, counts the
 words and compares the whole window at each candidate place.
 
 What grows with the benchmark is broadcast only below ``BROADCAST_ROWS`` rows, which
-are counted first; beyond that Spark joins by shuffling. Postings of a frequent term
+are counted first; beyond that Spark joins by shuffling. What grows with the corpus is
+never broadcast. Postings of a frequent term
 are spread over documents and positions, so no key holds them all.
 
 Defined results: a null or empty text has no words and no hits; a document is known
@@ -110,8 +111,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = candidates(index, rare, n_windows, slop).join(bounded(windows, n_windows), "window_id")
     exact = F.when((F.col("gap") == 0) & (F.col("start") >= 0), F.struct("start", "terms", "items"))
     by_doc = C.stored(found.groupBy("k1", "k2").agg(F.collect_set(exact).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near")))
-    n_docs = by_doc.agg(F.coalesce(F.sum(F.size("places") + 1), F.lit(0))).first()[0]
-    joined = keyed(docs, id_col, text, carry).join(bounded(by_doc, n_docs, BROADCAST_ROWS // 4), ["k1", "k2"], "left")
+    # candidate documents grow with the corpus: they are dealt out by their key with the documents, whatever their number
+    joined = keyed(docs, id_col, text, carry).join(by_doc.hint("shuffle_hash"), ["k1", "k2"], "left")
     kept = [f"_c_{c}" for c in carry]
     counted = joined.select("doc_id", *kept, "near", "places", F.when(F.col("places").isNotNull() & (F.size("places") > 0), F.col("text")).alias("text"), F.size(words_of(F.col("text"))).alias("n_words"))
     tokens = counted.withColumn("w", F.when(F.col("text").isNotNull(), words_of(F.col("text"))))
@@ -138,4 +139,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
