@@ -9,14 +9,15 @@ It is never formed whole:
    first n - ceil(s n) + 1 of each, in any common order. Only these entries enter the
    product. The order puts shingles that are frequent in the corpus last (``HEAVY`` of
    them are known to all tasks), so the columns stay short.
-3. Entries are dealt out by ranges of (shingle, size, class), so a column that half of
-   the corpus has is spread over many tasks. Neighbours in a column are compared first,
-   exactly; what links that way is one component.
-4. In columns with three or more classes that still hold several components, blocks of
-   ``BLOCK`` x ``BLOCK`` classes are multiplied: each class has the counts of its
-   shingles in ``CELLS`` cells, and the sum of the cells' minima is an upper bound of
-   the overlap. Pairs of different components that the bound allows are compared
-   exactly. Pairs inside a component can't change it and are left out.
+3. Each class has the counts of its shingles in ``CELLS`` cells. The sum of the cells'
+   minima is an upper bound of two sets' overlap; pairs below the bound that their sizes
+   demand are left out, and only classes of the other pairs have their whole sets made
+   again and compared exactly (by 48 bits of each shingle).
+4. Entries are dealt out by ranges of (shingle, size, class), so a column that half of
+   the corpus has is spread over many tasks. Neighbours in a column are compared first;
+   what links that way is one component. In columns with three or more classes that
+   still hold several components, blocks of ``BLOCK`` x ``BLOCK`` classes are multiplied,
+   cells by cells. Pairs inside a component can't change it and are left out.
 5. Components of all links, by large-star and small-star rounds.
 
 No link between different sets is lost: a pair that could link is compared, or both
@@ -56,9 +57,6 @@ def _word_hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
 
-_hashes = C.WordCache(_word_hash)
-
-
 def shingle_set(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit shingles of a text, from its words' hashes."""
     n = len(h) - width + 1
@@ -73,8 +71,9 @@ def shingle_set(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
-    flat, n = C.looked_up(_hashes, [(t or b"").lower().split() for t in texts], np.uint64)
-    _hashes.trim()
+    cache = C.held("word hashes", lambda: C.WordCache(_word_hash))
+    flat, n = C.looked_up(cache, [(t or b"").lower().split() for t in texts], np.uint64)
+    cache.trim()
     ends = np.cumsum(n)
     return [shingle_set(flat[e - m : e], width) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
 
@@ -104,6 +103,19 @@ def cells(s: np.ndarray) -> bytes:
     return (np.full(CELLS, 255) if c.max(initial=0) > 254 else c).astype(np.uint8).tobytes()
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set as the steps between the first 48 bits of its shingles, byte by byte: the
+    high bytes are nearly all 0, so Spark's compression of files and shuffles leaves them out."""
+    steps = np.diff(s >> np.uint64(16), prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    steps = np.zeros((len(raw) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return np.cumsum(steps.view("<u8").ravel())
+
+
 # --- passes over the texts ----------------------------------------------------
 
 
@@ -147,7 +159,7 @@ def heavy_shingles(docs: DataFrame, width: int = WIDTH, keep: int = HEAVY) -> tu
 
 
 def document_sets(docs: DataFrame, heavy, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row: its key, size, class and prefix."""
+    """Per row: its key, size, class, prefix and cell counts."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
@@ -158,23 +170,23 @@ def document_sets(docs: DataFrame, heavy, width: int = WIDTH, percent: int = PER
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
             kept = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[C.column(part, c) for c in kept], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary()), lists], names=[*kept, "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([*[C.column(part, c) for c in kept], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary()), lists, pa.array([cells(s) for s in sets], pa.binary())], names=[*kept, "n", "node", "prefix", "cells"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return C.map_arrow(docs, run, f"{fields}, n long, node binary, prefix array<long>")
+    return C.map_arrow(docs, run, f"{fields}, n long, node binary, prefix array<long>, cells binary")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Sets and cell counts of the classes in ``needed`` (node, k1, k2), made again from one text of each."""
+    """The sets of the classes in ``needed`` (node, k1, k2), made again from one text of each."""
     few = needed.count() <= BROADCAST_ROWS
     rows = docs.select("text", "k1", "k2").join(F.broadcast(needed) if few else needed, ["k1", "k2"]).select("node", "text")
 
     def run(batches):
         for part, texts in C.blocks(batches, "text"):
             sets = shingle_sets(texts, width)
-            yield C.out_batch({"node": pa.binary(), "n": pa.int64(), "cells": pa.binary(), "items": pa.binary()}, node=C.column(part, "node"), n=[len(s) for s in sets], cells=[cells(s) for s in sets], items=[s.tobytes() for s in sets])
+            yield C.out_batch({"node": pa.binary(), "items": pa.binary()}, node=C.column(part, "node"), items=[packed(s) for s in sets])
 
-    return C.map_arrow(rows, run, "node binary, n long, cells binary, items binary")
+    return C.map_arrow(rows, run, "node binary, items binary")
 
 
 # --- the product --------------------------------------------------------------
@@ -227,6 +239,36 @@ def size_allows(a, b, percent: int = PERCENT):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def bound_allows(x: np.ndarray, y: np.ndarray, n_x, n_y, percent: int = PERCENT) -> np.ndarray:
+    """Whether the overlap that the cell counts x and y (a row each) still allow is enough."""
+    overlap = np.minimum(np.minimum(x, y).sum(axis=1, dtype=np.int64), np.minimum(n_x, n_y))
+    unknown = (x[..., 0] == 255) & (y[..., 0] == 255)
+    overlap = np.where(unknown, np.minimum(n_x, n_y), overlap)
+    return (100 + percent) * overlap >= percent * (n_x + n_y)
+
+
+def possible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that the cells' bound allows."""
+    of = lambda name: reps.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("cells").alias(f"{name}_cells"))
+
+    def test(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(C.column(batch, c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
+            keep = bound_allows(x, y, C.column(batch, "a_n").to_numpy(), C.column(batch, "b_n").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return C.map_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_cells", "b_cells"), test, "a binary, b binary")
+
+
+def exact_links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link; sets are made only for the classes that stand in a pair."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = C.stored(full_sets(texts, nodes.join(reps.select("node", "k1", "k2"), "node"), width))
+    out = C.stored(links(pairs, sets, percent))
+    C.dropped(sets)
+    return out
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link, by the exact overlap of their sets."""
     of = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
@@ -236,7 +278,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
         for b in batches:
             keep = []
             for x, y in zip(C.column(b, "a_items").to_pylist(), C.column(b, "b_items").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpacked(x), unpacked(y)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -279,9 +321,7 @@ def block_pairs(entries: DataFrame, percent: int = PERCENT, block: int = BLOCK)
                     js = js[(c[js] != c[i]) & (100 * np.minimum(m[js], m[i]) >= percent * np.maximum(m[js], m[i]))]
                     if not len(js):
                         continue
-                    bound = np.minimum(np.minimum(cell[js], cell[i]).sum(axis=1, dtype=np.int64), np.minimum(m[js], m[i]))
-                    bound = np.where((cell[js, 0] == 255) & (cell[i, 0] == 255), np.minimum(m[js], m[i]), bound)
-                    got += [(node[a + i], node[a + j]) for j in js[(100 + percent) * bound >= percent * (m[js] + m[i])].tolist()]
+                    got += [(node[a + i], node[a + j]) for j in js[bound_allows(cell[js], cell[i], m[js], m[i], percent)].tolist()]
             got = sorted({(min(p), max(p)) for p in got})
             yield C.out_batch({"a": pa.binary(), "b": pa.binary()}, a=[p[0] for p in got], b=[p[1] for p in got])
 
@@ -344,26 +384,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     id and text (k1, k2) and its component (``component``; null without words)."""
     texts = keyed(docs, id_col, text)
     first = C.stored(document_sets(texts, heavy_shingles(texts, width), width, percent))
-    reps = C.stored(first.where("node is not null").select("node", "n", "k1", "k2", "prefix").dropDuplicates(["node"]))
-    rows = C.stored(first.drop("prefix"))
+    reps = C.stored(first.where("node is not null").select("node", "n", "k1", "k2", "prefix", "cells").dropDuplicates(["node"]))
+    rows = C.stored(first.drop("prefix", "cells"))
     C.dropped(first)
     shared = C.stored(columns(reps))
     pair = [F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")]
-    near = C.stored(shared.where(F.col("prev").isNotNull() & size_allows(F.col("n"), F.col("prev_n"), percent)).select(*pair).distinct())
-    needed = shared.select("node").distinct().join(reps.select("node", "k1", "k2"), "node")
-    sets = C.stored(full_sets(texts, needed, width))
-    linked = C.stored(links(near, sets, percent))
+    near = shared.where(F.col("prev").isNotNull() & size_allows(F.col("n"), F.col("prev_n"), percent)).select(*pair).distinct()
+    near = C.stored(possible(near, reps, percent))
+    linked = exact_links(near, reps, texts, width, percent)
     found = components(linked)
 
     sizes = shared.groupBy("h").agg(F.count("*").alias("size")).where("size > 2")
     member = shared.select("h", "node", "n").join(sizes, "h").join(found.select(F.col("v").alias("node"), F.col("m").alias("comp")), "node", "left")
     member = C.stored(member.select("h", "node", "n", "size", F.coalesce("comp", "node").alias("comp")))
     mixed = member.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    rest = member.join(mixed, "h", "left_semi").join(sets.select("node", "cells"), "node")
+    rest = member.join(mixed, "h", "left_semi").join(reps.select("node", "cells"), "node")
     others = C.stored(block_pairs(rest, percent).join(near, ["a", "b"], "left_anti"))
-    more = C.stored(links(others, sets, percent))
+    more = exact_links(others, reps, texts, width, percent)
     found = components(found.select(F.col("v").alias("a"), F.col("m").alias("b")).union(more.select("a", "b")))
-    C.dropped(member, sets, shared, reps)
+    C.dropped(member, shared, reps)
 
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = own.join(found.select(F.col("v").alias("node"), F.col("m").alias("comp")), "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
