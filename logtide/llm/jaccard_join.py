@@ -16,7 +16,7 @@ It is never formed whole:
 4. Entries are dealt out by ranges of (shingle, size, class), so a column that half of
    the corpus has is spread over many tasks. Neighbours in a column are compared first;
    what links that way is one component. In columns with three or more classes that
-   still hold several components, blocks of ``BLOCK`` x ``BLOCK`` classes are multiplied,
+   still hold several components (of columns of the same classes, in one), blocks of ``BLOCK`` x ``BLOCK`` classes are multiplied,
    cells by cells. Pairs inside a component can't change it and are left out.
 5. Components of all links, by large-star and small-star rounds.
 
@@ -397,7 +397,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sizes = shared.groupBy("h").agg(F.count("*").alias("size")).where("size > 2")
     member = shared.select("h", "node", "n").join(sizes, "h").join(found.select(F.col("v").alias("node"), F.col("m").alias("comp")), "node", "left")
     member = C.stored(member.select("h", "node", "n", "size", F.coalesce("comp", "node").alias("comp")))
-    mixed = member.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    mixed = member.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).where("lo < hi")
+    mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h")  # columns of the same classes have the same product
     rest = member.join(mixed, "h", "left_semi").join(reps.select("node", "cells"), "node")
     others = C.stored(block_pairs(rest, percent).join(near, ["a", "b"], "left_anti"))
     more = exact_links(others, reps, texts, width, percent)
