@@ -358,8 +358,10 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, m) for every node that isn't the smallest of its component: m is."""
-    e = C.stored(contracted(edges.select("a", "b").repartition("a")))
+    """(v, m) for every node that isn't the smallest of its component: m is.
+
+    Edges are dealt out by both ends, so a node that half of them meet in is spread over all tasks."""
+    e = C.stored(contracted(edges.select("a", "b").repartition("a", "b")))
     while True:
         roots = e.select(F.col("m").alias("v")).distinct()
         chained = e.join(roots, "v", "left_semi").limit(1).count()
@@ -371,7 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
         low = large.groupBy("v").agg(F.min("m").alias("lm"))
         small = large.join(low, "v").select(F.when(F.col("m") == F.col("lm"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("lm").alias("m"), F.col("v").alias("old"))
-        new = C.stored(contracted(small.select("v", "m").union(small.select(F.col("old"), "m")).distinct().repartition("m")))
+        new = C.stored(contracted(small.select("v", "m").union(small.select(F.col("old"), "m")).distinct().repartition("v", "m")))
         C.dropped(e)
         e = new
 
