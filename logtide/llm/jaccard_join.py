@@ -47,6 +47,8 @@ WIDTH, PERCENT = 5, 80
 HEAVY, HEAVY_AT, HEAVY_BUFFER = 100_000, 8, 2_000_000
 CELLS, BLOCK = 256, 256
 BROADCAST_ROWS = 200_000
+#: Pairs that a task remembers, so that it doesn't give them again for the next columns.
+SEEN_PAIRS = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -299,6 +301,7 @@ def block_pairs(entries: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     dealt = dealt.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj")
 
     def multiply(batches):
+        seen: set = set()  # pairs this task has given already, as far as they are held
         for t, starts in C.runs(batches, ["h", "bi", "bj"], 20_000):
             node, comp = t.column("node").to_pylist(), t.column("comp").to_pylist()
             n, own = t.column("n").to_numpy(), t.column("own").to_numpy()
@@ -322,7 +325,10 @@ def block_pairs(entries: DataFrame, percent: int = PERCENT, block: int = BLOCK)
                     if not len(js):
                         continue
                     got += [(node[a + i], node[a + j]) for j in js[bound_allows(cell[js], cell[i], m[js], m[i], percent)].tolist()]
-            got = sorted({(min(p), max(p)) for p in got})
+            got = sorted({(min(p), max(p)) for p in got} - seen)
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            seen.update(got)
             yield C.out_batch({"a": pa.binary(), "b": pa.binary()}, a=[p[0] for p in got], b=[p[1] for p in got])
 
     return C.map_arrow(dealt, multiply, "a binary, b binary").distinct()
