@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once inside a task; bounds the memory of a Python worker (n-grams take 50 times as much).
+#: Bytes of text handled at once inside a task; bounds the memory of a Python worker.
 BLOCK_BYTES = 1_000_000
 #: Entries of one generation of a worker's word cache.
 CACHE_ENTRIES = 300_000
