@@ -15,8 +15,8 @@ It is never formed whole:
    again and compared exactly (by 48 bits of each shingle).
 4. Entries are dealt out by ranges of (shingle, size, class), so a column that half of
    the corpus has is spread over many tasks. Neighbours in a column are compared first;
-   what links that way is one component. In columns with three or more classes that
-   still hold several components (of columns of the same classes, in one), blocks of ``BLOCK`` x ``BLOCK`` classes are multiplied,
+   what links that way is one component. In columns with three or more classes, and
+   in those of two that the dealing has cut apart, that still hold several components (of columns of the same classes, in one), blocks of ``BLOCK`` x ``BLOCK`` classes are multiplied,
    cells by cells. Pairs inside a component can't change it and are left out.
 5. Components of all links, by large-star and small-star rounds.
 
@@ -402,7 +402,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     linked = exact_links(near, reps, texts, width, percent)
     found = components(linked)
 
-    sizes = shared.groupBy("h").agg(F.count("*").alias("size")).where("size > 2")
+    # a column of two classes that lie in two tasks has not been compared
+    sizes = shared.groupBy("h").agg(F.count("*").alias("size"), F.count("prev").alias("joined")).where("size > 2 or joined < size - 1").select("h", "size")
     member = shared.select("h", "node", "n").join(sizes, "h").join(found.select(F.col("v").alias("node"), F.col("m").alias("comp")), "node", "left")
     member = C.stored(member.select("h", "node", "n", "size", F.coalesce("comp", "node").alias("comp")))
     mixed = member.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2")).where("lo < hi")

@@ -88,6 +88,23 @@ def test_jaccard_components(near, monkeypatch, most, block):
     assert len({r[2] for r in want}) < len(want) - 20
 
 
+def test_jaccard_of_columns_cut_between_tasks(spark):
+    """Pairs that share one prefix shingle only, in more range partitions than a few."""
+    rng, rows = random.Random(11), []
+    for k in range(300):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(w[:8])), (2 * k + 1, " ".join(w))]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert ordered(got) == ordered(brute.linked(rows))
+
+
 def test_jaccard_of_real_and_of_nothing(real, none):
     got = jaccard_join.jaccard_components(real).select("doc_id", "n_shingles", "component_id").collect()
     assert ordered(got) == ordered(brute.linked(pairs(real)))
