@@ -1,22 +1,25 @@
 """Mixture-controlled packing of documents into training sequences.
 
 Every source is a queue, in the order in which its documents were stored. Deficit
-round-robin serves the queues: in each round (a mixture window of about
-``window_tokens`` ids) queue q may take its quantum, its target share of the
-window; the fraction of an id that it couldn't take is its deficit and carries
-into the next round. After k rounds q has therefore given
+round-robin serves the queues: in each round, which is one sequence of ``max_len``
+ids (or ``window_tokens`` ids, if they are given), queue q may take its quantum, its
+target share of the round; the fraction of an id that it couldn't take is its deficit
+and carries into the next round. When the stream has reached place p, q has given
 
-    C_q(k) = min(N_q, floor(k * quantum_q))
+    C_q(p) = min(N_q, floor(t * share_q + 1/2)), with t such that all C_q add up to p
 
-ids, wherever they are stored. So no task has to wait for another: with the ids
+ids, wherever they are stored (ids that are due at one t go by the queues' order). So
+rounds have exactly their length, also after queues have run dry, and every sequence
+holds the proportions to about an id. And no task has to wait for another: with the ids
 of each queue before a document (a prefix sum over the tasks, one row for each
 task and queue), every task knows the rounds its own documents fall into and
-their place in the one long stream of all rounds, and cuts it into sequences of
-``max_len`` ids. Deficits thus carry over windows and over partitions alike. The
-ids behind the last full sequence are cut at powers of two, so nothing is padded.
+their place in the one long stream of all rounds. Deficits thus carry over sequences and
+over partitions alike. The ids behind the last full sequence are cut at powers of two, so
+nothing is padded.
 
 Targets default to the queues' shares of all ids, so that all run dry in the same
-round; with other targets a queue that is dry leaves its turn to the rest.
+round; with other targets a queue that is dry leaves its turn to the rest, in their
+proportions.
 More than ``max_queues`` sources share ``max_queues`` queues by their hash, so
 what is broadcast (three numbers a queue) stays bounded.
 
@@ -38,12 +41,16 @@ from pyspark.sql import functions as F
 from . import common as C
 from .encoding import worker_encoder
 
-MAX_LEN, WINDOW_TOKENS, MAX_QUEUES = 4_096, 65_536, 1_024
+MAX_LEN, MAX_QUEUES = 4_096, 1_024
+WINDOW_TOKENS = MAX_LEN  # a round is a sequence
+#: Share of a queue that has no target while others have one.
+LEAST_SHARE = 2.0**-26
+#: Entries of a table of rounds x queues that a task holds at once.
+MATRIX = 1_000_000
 #: Rows of (task, queue) offsets up to which they are broadcast; a join shuffles them beyond.
 BROADCAST_ROWS = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, queue string"
 _types = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "window": pa.int64(), "queue": pa.string()}
-_FRACTION = 30  # bits of a quantum's fraction
 
 
 class Schedule:
@@ -55,39 +62,78 @@ class Schedule:
         weight = np.array([targets.get(n, 0.0) if targets else t for n, t in zip(names, totals, strict=True)], float)
         if not weight.sum():
             weight = np.ones(len(names))
-        quantum = np.maximum(np.floor(weight / weight.sum() * window_tokens * (1 << _FRACTION)).astype(np.int64), 1 << (_FRACTION - 10))
-        self.whole, self.part = quantum >> _FRACTION, quantum & ((1 << _FRACTION) - 1)
-        self.quantum = quantum / float(1 << _FRACTION)
+        self.share = np.where(weight > 0, weight / max(weight.sum(), 1e-300), LEAST_SHARE)
+        self.end = float(((self.total + 1) / self.share).max(initial=0.0)) * (1 + 1e-9) + 1  # all are dry by then
         self.ids = int(self.total.sum())
         full, rest = divmod(self.ids, max_len)
-        self.full, self.max_len = full, max_len
+        self.full, self.max_len, self.window_tokens = full, max_len, window_tokens
         powers = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
         self.tail = full * max_len + np.concatenate([[0], np.cumsum(powers)]).astype(np.int64)
-
-    def given(self, k: np.ndarray, q) -> np.ndarray:
-        """C_q(k)"""
-        return np.minimum(self.total[q], k * self.whole[q] + ((k * self.part[q]) >> _FRACTION))
-
-    def round_of(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The round in which queue q gives its id number x."""
-        k = np.maximum(np.floor(x / self.quantum[q]).astype(np.int64) - 1, 0)
-        while (late := self.given(k + 1, q) <= x).any():
-            k = k + late
-        while (early := (k > 0) & (self.given(k, q) > x)).any():
-            k = k - early
-        return k
-
-    def places(self, k: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Where in the stream of all rounds queue q's turn of round k begins."""
-        out = np.empty(len(k), np.int64)
-        step = max(1, 2_000_000 // max(1, len(self.total)))
-        every = np.arange(len(self.total))[None, :]
-        for a in range(0, len(k), step):
-            kk = k[a : a + step, None]
-            now, then = self.given(kk, every), self.given(kk + 1, every)
+        whole = self.ids // window_tokens
+        last = self.tail if window_tokens == max_len else np.unique([whole * window_tokens, self.ids])
+        self.rounds, self.last = whole, last
+
+    def bound(self, k: np.ndarray) -> np.ndarray:
+        """Where in the stream round k begins."""
+        return np.where(k <= self.rounds, k * self.window_tokens, self.last[np.clip(k - self.rounds, 0, len(self.last) - 1)])
+
+    def round_at(self, place: np.ndarray) -> np.ndarray:
+        """The round that holds this place of the stream."""
+        place = np.clip(place, 0, self.ids - 1)
+        return np.where(place < self.last[0], place // self.window_tokens, self.rounds + np.searchsorted(self.last, place, side="right") - 1)
+
+    def by_time(self, t: np.ndarray) -> np.ndarray:
+        """Ids that each queue has given at the times t (a row each): its share of t, to the nearest id."""
+        return np.minimum(self.total, np.floor(t[:, None] * self.share + 0.5)).astype(np.int64)
+
+    def sum_by_time(self, t: np.ndarray) -> np.ndarray:
+        step = max(1, MATRIX // max(1, len(self.total)))
+        return np.concatenate([self.by_time(t[a : a + step]).sum(axis=1) for a in range(0, len(t), step)] or [np.zeros(0, np.int64)])
+
+    def given(self, place: np.ndarray) -> np.ndarray:
+        """C_q: ids that each queue has given when the stream has reached these places (a row each)."""
+        wide, total = len(self.total), self.share.sum()
+        low = np.maximum((place - wide - 1) / total * (1 - 1e-9), 0.0)
+        high = np.minimum((place + wide + 1) / total * (1 + 1e-9), self.end)
+        low_sum, high_sum = self.by_time(low).sum(axis=1), self.by_time(high).sum(axis=1)
+        short = high_sum < place  # some queues are dry
+        high[short], high_sum[short] = self.end, self.ids
+        left = np.arange(len(place))
+        while len(left := left[(low_sum[left] < place[left]) & (high_sum[left] > place[left])]):
+            mid = (low[left] + high[left]) / 2
+            apart = (mid > low[left]) & (mid < high[left])
+            left, mid = left[apart], mid[apart]
+            at = self.by_time(mid).sum(axis=1)
+            below = at <= place[left]
+            low[left[below]], low_sum[left[below]] = mid[below], at[below]
+            high[left[~below]], high_sum[left[~below]] = mid[~below], at[~below]
+        out = self.by_time(low)
+        more = self.by_time(high) - out  # ids of one time go by the queues' order
+        return out + np.clip((place - low_sum)[:, None] - (np.cumsum(more, axis=1) - more), 0, more)
+
+    def rounds_of(self, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last round that ids x to x + n - 1 of queue q can fall into."""
+        first, last = (x + 0.5) / self.share[q] * (1 - 1e-12), (x + n - 0.5) / self.share[q] * (1 + 1e-12)
+        return self.round_at(self.sum_by_time(first)), self.round_at(self.sum_by_time(last))
+
+    def turns(self, k: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queue q's turn in round k: its ids' begin and end, and the place in the stream."""
+        begin, end, place = (np.empty(len(k), np.int64) for _ in range(3))
+        order = np.argsort(k, kind="stable")
+        rounds, starts = np.unique(k[order], return_index=True)
+        starts = np.append(starts, len(k))
+        step = max(1, MATRIX // max(1, len(self.total)))
+        for a in range(0, len(rounds), step):
+            some = rounds[a : a + step]
+            rows = order[starts[a] : starts[a + len(some)]]
+            edges = np.unique(np.concatenate([some, some + 1]))
+            given = self.given(self.bound(edges))
+            i = np.searchsorted(edges, some)
+            now, then = given[i], given[np.searchsorted(edges, some + 1)]
             before = np.cumsum(then - now, axis=1) - (then - now)
-            out[a : a + step] = now.sum(axis=1) + before[np.arange(len(kk)), q[a : a + step]]
-        return out
+            r, at = np.searchsorted(some, k[rows]), q[rows]
+            begin[rows], end[rows], place[rows] = now[r, at], then[r, at], self.bound(some)[r] + before[r, at]
+        return begin, end, place
 
     def sequence(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, begin and end of the sequence that holds place g of the stream."""
@@ -107,11 +153,12 @@ def _split(start: np.ndarray, length: np.ndarray, count: np.ndarray) -> tuple[np
 
 def pieces(s: Schedule, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """Cuts documents (n ids from place x of queue q) at the ends of rounds and of sequences."""
-    first, last = s.round_of(q, x), s.round_of(q, x + n - 1)
+    first, last = s.rounds_of(q, x, n)
     row, at = _split(x, n, last - first + 1)
     k, q = first[row] + at, q[row]
-    begin, end = np.maximum(x[row], s.given(k, q)), np.minimum((x + n)[row], s.given(k + 1, q))
-    g = s.places(k, q) + begin - s.given(k, q)
+    turn, turn_end, place = s.turns(k, q)
+    begin, end = np.maximum(x[row], turn), np.minimum((x + n)[row], turn_end)
+    g = place + begin - turn
     row, k, begin, end, g = (a[end > begin] for a in (row, k, begin, end, g))
     out = []
     while len(row):  # each pass cuts off what still fits into the sequence at hand

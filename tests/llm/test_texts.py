@@ -135,6 +135,26 @@ def test_packing_holds_its_mixture(spark):
     assert (abs(full["a"] - 2_048) <= 1).all() and (abs(full["b"] - 6_144) <= 1).all()
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
+def test_packing_holds_its_mixture_in_each_sequence(spark, targets):
+    """Also in those behind the last one that a dry queue (b, with the targets) has a part in."""
+    docs = spark.range(700).selectExpr("id AS doc_id", "repeat('word ', 200) AS text", "CASE WHEN id % 7 = 0 THEN 'b' WHEN id % 7 < 4 THEN 'a' ELSE 'c' END AS source").repartition(5)
+    got = packing.pack(docs, WORDS, targets=targets).toPandas()
+    share = got.groupby(["sequence_id", "queue"])["length"].sum().unstack().fillna(0)
+    total = share.sum()
+    full = share[share.sum(axis=1) == 4_096]
+    assert len(full) == int(total.sum()) // 4_096
+    want = targets or (total / total.sum()).to_dict()
+    begun, checked = share.cumsum(), 0
+    for k, row in full.iterrows():
+        wet = [x for x in want if begun[x][k] < total[x] or targets is None]
+        if any(begun[x][k] == total[x] and row[x] for x in want if x not in wet):
+            continue  # a queue runs dry in this one
+        assert all(abs(row[x] - 4_096 * want[x] / sum(want[y] for y in wet)) <= 2 for x in wet)
+        checked += 1
+    assert checked >= len(full) - 3
+
+
 @pytest.mark.parametrize("which", ["hard", "real", "none"])
 def test_license_base(request, which):
     docs = request.getfixturevalue(which)
