@@ -6,7 +6,7 @@ ids (or ``window_tokens`` ids, if they are given), queue q may take its quantum,
 target share of the round; the fraction of an id that it couldn't take is its deficit
 and carries into the next round. When the stream has reached place p, q has given
 
-    C_q(p) = min(N_q, floor(t * share_q + 1/2)), with t such that all C_q add up to p
+    C_q(p) = min(N_q, floor(t * share_q + phase_q)), with t such that all C_q add up to p
 
 ids, wherever they are stored (ids that are due at one t go by the queues' order). So
 rounds have exactly their length, also after queues have run dry, and every sequence
@@ -20,8 +20,9 @@ nothing is padded.
 Targets default to the queues' shares of all ids, so that all run dry in the same
 round; with other targets a queue that is dry leaves its turn to the rest, in their
 proportions.
-More than ``max_queues`` sources share ``max_queues`` queues by their hash, so
-what is broadcast (three numbers a queue) stays bounded.
+Every source is a queue of its own, however many there are: names are numbered by a
+join, and tasks are sent two numbers a queue. The work for the places grows with rounds
+times queues.
 
 Defined results: a null text is its end id alone; a null source shares the queue
 of the empty one; each row is packed, repeated or not; a null id stays null; an
@@ -41,10 +42,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .encoding import worker_encoder
 
-MAX_LEN, MAX_QUEUES = 4_096, 1_024
+MAX_LEN = 4_096
 WINDOW_TOKENS = MAX_LEN  # a round is a sequence
 #: Share of a queue that has no target while others have one.
 LEAST_SHARE = 2.0**-26
+GOLDEN = (5**0.5 - 1) / 2
 #: Entries of a table of rounds x queues that a task holds at once.
 MATRIX = 1_000_000
 #: Rows of (task, queue) offsets up to which they are broadcast; a join shuffles them beyond.
@@ -57,12 +59,14 @@ class Schedule:
     """The deficit round-robin, as a function of the round."""
 
     def __init__(self, names: list[str], totals: list[int], targets: dict[str, float] | None = None, window_tokens: int = WINDOW_TOKENS, max_len: int = MAX_LEN):
-        self.index = {n: k for k, n in enumerate(names)}
         self.total = np.array(totals, np.int64)
         weight = np.array([targets.get(n, 0.0) if targets else t for n, t in zip(names, totals, strict=True)], float)
         if not weight.sum():
             weight = np.ones(len(names))
         self.share = np.where(weight > 0, weight / max(weight.sum(), 1e-300), LEAST_SHARE)
+        # Phases spread over [0, 1) among queues of about one share, so that small ones aren't due all at once.
+        self.phase = np.empty(len(names))
+        self.phase[np.argsort(self.share, kind="stable")] = (np.arange(len(names)) + 0.5) * GOLDEN % 1
         self.end = float(((self.total + 1) / self.share).max(initial=0.0)) * (1 + 1e-9) + 1  # all are dry by then
         self.ids = int(self.total.sum())
         full, rest = divmod(self.ids, max_len)
@@ -83,8 +87,8 @@ class Schedule:
         return np.where(place < self.last[0], place // self.window_tokens, self.rounds + np.searchsorted(self.last, place, side="right") - 1)
 
     def by_time(self, t: np.ndarray) -> np.ndarray:
-        """Ids that each queue has given at the times t (a row each): its share of t, to the nearest id."""
-        return np.minimum(self.total, np.floor(t[:, None] * self.share + 0.5)).astype(np.int64)
+        """Ids that each queue has given at the times t (a row each)."""
+        return np.minimum(self.total, np.floor(t[:, None] * self.share + self.phase)).astype(np.int64)
 
     def sum_by_time(self, t: np.ndarray) -> np.ndarray:
         step = max(1, MATRIX // max(1, len(self.total)))
@@ -113,7 +117,7 @@ class Schedule:
 
     def rounds_of(self, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last round that ids x to x + n - 1 of queue q can fall into."""
-        first, last = (x + 0.5) / self.share[q] * (1 - 1e-12), (x + n - 0.5) / self.share[q] * (1 + 1e-12)
+        first, last = (x + 1 - self.phase[q]) / self.share[q] * (1 - 1e-12), (x + n - self.phase[q]) / self.share[q] * (1 + 1e-12)
         return self.round_at(self.sum_by_time(first)), self.round_at(self.sum_by_time(last))
 
     def turns(self, k: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,11 +176,9 @@ def pieces(s: Schedule, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> dict[str
     return dict(zip(("row", "window", "begin", "length", "sequence_id", "offset"), (c[order] for c in cols), strict=True))
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text: str, source: str, max_queues: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text: str, source: str) -> DataFrame:
     """The documents' ids, written once, with the ids of the same queue and task before each."""
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    if docs.select(name.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        name = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string"))
 
     def encode(batches):
         encoder, part, seen = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), {}
@@ -194,24 +196,27 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str, text: str, sour
     return C.stored(C.map_arrow(rows, encode, "doc_id long, queue string, part int, before long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, max_len: int = MAX_LEN, window_tokens: int = WINDOW_TOKENS, max_queues: int = MAX_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, max_len: int = MAX_LEN, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     spark = docs.sparkSession
-    ids = tokenized(docs, tokenizer_path, id_col, text, source, max_queues)
+    ids = tokenized(docs, tokenizer_path, id_col, text, source)
     sums = C.stored(ids.groupBy("queue", "part").agg(F.sum("n").alias("n")))
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # max_queues rows at most
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").toArrow()  # a row for each source
+    numbers = spark.createDataFrame(pa.table({"queue": totals.column("queue"), "q": pa.array(range(totals.num_rows), pa.int64())}))
+    if totals.num_rows <= BROADCAST_ROWS:
+        numbers = F.broadcast(numbers)
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    base = sums.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).join(numbers, "queue")
     if sums.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
-    schedule = Schedule([r.queue for r in totals], [r.n for r in totals], targets, window_tokens, max_len)
+    schedule = Schedule(totals.column("queue").to_pylist(), totals.column("n").to_pylist(), targets, window_tokens, max_len)
     shared = spark.sparkContext.broadcast(schedule)
 
     def cut(batches):
         s = shared.value
         for batch, raw in C.blocks(batches, "ids", C.BLOCK_BYTES):
             queues = C.column(batch, "queue").to_pylist()
-            q = np.array([s.index[x] for x in queues], np.int64)
+            q = C.column(batch, "q").to_numpy()
             n = C.column(batch, "n").to_numpy()
             x = C.column(batch, "base").to_numpy() + C.column(batch, "before").to_numpy()
             p = pieces(s, q, x, n)
@@ -220,7 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str
             crc = [zlib.crc32(wide[r][4 * a : 4 * (a + m)]) for r, a, m in zip(p["row"].tolist(), start.tolist(), p["length"].tolist(), strict=True)]
             yield C.out_batch(_types, doc_id=C.column(batch, "doc_id").take(pa.array(p["row"])), start=start, length=p["length"], ids_crc32=crc, doc_tokens=n[p["row"]], sequence_id=p["sequence_id"], offset=p["offset"], window=p["window"], queue=[queues[r] for r in p["row"].tolist()])
 
-    return C.map_arrow(ids.join(base, ["queue", "part"]).select("doc_id", "queue", "base", "before", "n", "ids"), cut, SCHEMA)
+    return C.map_arrow(ids.join(base, ["queue", "part"]).select("doc_id", "queue", "q", "base", "before", "n", "ids"), cut, SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,19 @@ def test_packing_holds_its_mixture_in_each_sequence(spark, targets):
     assert checked >= len(full) - 3
 
 
+@pytest.mark.parametrize("targets", [None, {"big": 0.5, "other": 0.5}])
+def test_packing_keeps_every_source(spark, targets):
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "repeat('word ', 10) AS text", "CASE id % 4 WHEN 0 THEN 'big' WHEN 1 THEN 'other' ELSE concat('site', id) END AS source").repartition(5)
+    got = packing.pack(docs, WORDS, targets=targets).toPandas()
+    assert set(got["queue"]) == {r.source for r in docs.select("source").distinct().collect()}
+    assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].max()).all()
+    share = got.groupby(["sequence_id", "queue"])["length"].sum().unstack().fillna(0)
+    full = share[share.sum(axis=1) == 4_096]
+    held = full if targets is None else full[:4]  # 'big' and 'other' have ids for six sequences
+    assert len(held) >= 4
+    assert (abs(held[["big", "other"]] - (1_024 if targets is None else 2_048)) <= 2).all(axis=None)
+
+
 @pytest.mark.parametrize("which", ["hard", "real", "none"])
 def test_license_base(request, which):
     docs = request.getfixturevalue(which)
