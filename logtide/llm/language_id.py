@@ -10,8 +10,8 @@ to a language is the sum, over its slots, of how far each is out of place there,
 (ties: by name); the score is the lead over the second nearest, (d2 - d1) / d2.
 
 Counts are summed inside tasks first, so at most SLOTS rows for each language and
-task are shuffled. Broadcast are the profiles: PROFILE slots for each of at most
-``MAX_LANGUAGES`` languages (the most frequent ones).
+task are shuffled. Broadcast are the profiles: PROFILE slots for each
+language; up to ``HELD_LANGUAGES`` as a table, more as each slot's languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a
 null id is never held out nor learned from; null languages are not learned from; if
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MAX_N, SLOTS, PROFILE, MAX_LANGUAGES = 3, 1 << 16, 300, 256
+MAX_N, SLOTS, PROFILE = 3, 1 << 16, 300
+#: Languages whose counts or ranks a task holds as tables of SLOTS; it doesn't limit how many there are.
+HELD_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
 _letters = re.compile(r"[^\W\d_]+")
@@ -85,9 +87,14 @@ def ranked(slots: np.ndarray, most: int = PROFILE) -> np.ndarray:
     return have[np.argsort(-key)]
 
 
-def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, profile: int = PROFILE, most: int = MAX_LANGUAGES) -> dict[str, list[int]]:
+def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, profile: int = PROFILE) -> dict[str, list[int]]:
     rows = docs.where(C.crc_fold(id_col, folds) != held_out).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
 
+    def rows_of(total):
+        for name, c in sorted(total.items()):
+            have = np.flatnonzero(c)
+            yield C.out_batch({"lang": pa.string(), "slot": pa.int32(), "n": pa.int64()}, lang=[name] * len(have), slot=have, n=c[have])
+
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for part, texts in C.blocks(batches, "text"):
@@ -97,9 +104,10 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 by_lang.setdefault(name, []).append(flat[end - m : end])
             for name, own in by_lang.items():
                 total[name] = total.get(name, 0) + np.bincount(np.concatenate(own), minlength=SLOTS)
-        for name, c in sorted(total.items()):
-            have = np.flatnonzero(c)
-            yield C.out_batch({"lang": pa.string(), "slot": pa.int32(), "n": pa.int64()}, lang=[name] * len(have), slot=have, n=c[have])
+                if len(total) >= HELD_LANGUAGES:
+                    yield from rows_of(total)
+                    total.clear()
+        yield from rows_of(total)
 
     counted = C.map_arrow(rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "slot")
@@ -107,8 +115,7 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     top = counted.withColumns({"rank": F.row_number().over(order), "size": size}).where(F.col("rank") <= profile)
     out: dict[str, list] = {}
     for r in top.orderBy(F.desc("size"), "lang", "rank").collect():  # PROFILE rows a language
-        if r.lang in out or len(out) < most:
-            out.setdefault(r.lang, []).append(r.slot)
+        out.setdefault(r.lang, []).append(r.slot)
     return out
 
 
@@ -120,12 +127,36 @@ def rank_table(profiles: dict[str, list[int]], profile: int = PROFILE) -> tuple[
     return names, table
 
 
-def nearest(slots: np.ndarray, names: list[str], table: np.ndarray, profile: int = PROFILE) -> tuple[str, float]:
+class SparseRanks:
+    """What rank_table holds, as the languages and ranks of each slot: for many languages."""
+
+    def __init__(self, profiles: dict[str, list[int]]):
+        self.names = sorted(profiles)
+        slot = np.array([s for n in self.names for s in profiles[n]], np.int64)
+        size = [len(profiles[n]) for n in self.names]
+        order = np.argsort(slot, kind="stable")
+        self.lang = np.repeat(np.arange(len(self.names)), size)[order]
+        self.rank = np.concatenate([np.arange(0), *map(np.arange, size)])[order]
+        self.starts = np.searchsorted(slot[order], np.arange(SLOTS + 1))
+
+    def distance(self, mine: np.ndarray, profile: int) -> np.ndarray:
+        begin, n = self.starts[mine], self.starts[mine + 1] - self.starts[mine]
+        place = np.repeat(np.arange(len(mine)), n)
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(place))
+        out = np.full(len(self.names), profile * len(mine), np.int64)
+        np.add.at(out, self.lang[at], np.abs(self.rank[at] - place) - profile)
+        return out
+
+
+def nearest(slots: np.ndarray, names: list[str], table: np.ndarray | SparseRanks, profile: int = PROFILE) -> tuple[str, float]:
     if not len(slots) or not names:
         return UNKNOWN, 0.0
     mine = ranked(slots, profile)
-    place = table[:, mine]
-    distance = np.where(place == profile, profile, np.abs(place - np.arange(len(mine)))).sum(axis=1)
+    if isinstance(table, SparseRanks):
+        distance = table.distance(mine, profile)
+    else:
+        place = table[:, mine]
+        distance = np.where(place == profile, profile, np.abs(place - np.arange(len(mine)))).sum(axis=1)
     order = np.argsort(distance, kind="stable")
     best = int(distance[order[0]])
     second = int(distance[order[1]]) if len(names) > 1 else profile * len(mine)
@@ -143,7 +174,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     def run(batches):
         if key not in _tables:
             _tables.clear()
-            _tables[key] = rank_table(shared.value, profile)
+            many = len(shared.value) > HELD_LANGUAGES
+            _tables[key] = (sorted(shared.value), SparseRanks(shared.value)) if many else rank_table(shared.value, profile)
         names, table = _tables[key]
         for part, texts in C.blocks(batches, "_text"):
             flat, n = text_slots(texts)

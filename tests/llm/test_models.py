@@ -109,6 +109,20 @@ def test_rank_order_distance_against_a_plain_version():
     assert language_id.nearest(mine, names, table, 3) == (min(plain, key=plain.get), (second - best) / second)
 
 
+def test_every_language_has_a_profile(spark):
+    rng = np.random.default_rng(4)
+    rows = [(5 * k + d, " ".join(chr(0x4E00 + 10 * k + i) for i in rng.integers(0, 10, 30)), f"l{k:03}") for k in range(300) for d in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(docs)
+    assert sorted(profiles) == sorted({r[2] for r in rows})
+    got = language_id.predict(docs, profiles, carry=("lang",)).where("NOT held_out")
+    assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
+    names, table = language_id.rank_table(profiles)
+    for _ in range(50):
+        slots = rng.choice(np.concatenate([profiles["l007"], profiles["l123"], np.arange(99)]), 200)
+        assert language_id.nearest(slots, names, language_id.SparseRanks(profiles)) == language_id.nearest(slots, names, table)
+
+
 @pytest.mark.parametrize("which", ["hard", "none"])
 def test_language_defined_results(request, real, which):
     docs = request.getfixturevalue(which)
