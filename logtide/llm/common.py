@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -22,8 +21,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of a Python worker.
 BLOCK_BYTES = 1_000_000
-#: Entries of one generation of a worker's word cache.
-CACHE_ENTRIES = 300_000
+#: Words that a worker's cache holds, numbers held for them.
+CACHE_ENTRIES, CACHE_NUMBERS = 400_000, 6_000_000
+SLOT_BITS = 20
+#: Bytes of words that are hashed at once.
+SLICE = 1 << 20
+#: Keys longer than this are never held (in bytes).
+LONGEST_KEY = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,7 +145,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 200
 class WordCache(dict):
     """word -> number, through ``make`` on a miss. When it is full it becomes the old
     generation, from which words come back as they are met again; the rest is forgotten
-    at the next change. So frequent words stay, and at most 2 x ``most`` are held."""
+    at the next change. So frequent words stay, and at most 2 x ``most`` are held, none of
+    them longer than LONGEST_KEY: they take a bounded number of bytes."""
 
     def __init__(self, make: Callable[[bytes], int], most: int = CACHE_ENTRIES):
         super().__init__()
@@ -152,7 +157,8 @@ class WordCache(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        self[word] = value
+        if len(word) <= LONGEST_KEY:
+            self[word] = value
         return value
 
     def trim(self) -> None:
@@ -161,50 +167,151 @@ class WordCache(dict):
             self.clear()
 
 
-class VectorCache(dict):
-    """word -> row number of a growing table of small vectors (CSR), in two generations as above.
+# --- words of a block, by their hashes -----------------------------------------
 
-    ``code``: the vectors' type, as array.array names it."""
+_blank = np.zeros(256, bool)
+_blank[[9, 10, 11, 12, 13, 32]] = True
 
-    def __init__(self, vector: Callable[[bytes], Sequence[int]], code: str, most: int = CACHE_ENTRIES):
-        super().__init__()
-        self.vector, self.code, self.most = vector, code, most
-        self.old: dict = {}
-        self.old_values, self.old_ends = array(code), array("q", [0])
-        self._fresh()
 
-    def _fresh(self) -> None:
-        self.clear()
-        self.values, self.ends = array(self.code), array("q", [0])
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 64-bit hashes (splitmix64)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    def row(self, r: int) -> array:
-        return self.values[self.ends[r] : self.ends[r + 1]]
+_of_byte = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_of_place = mix64(np.arange(1, 65_537, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        r = self.old.get(word)
-        v = self.vector(word) if r is None else self.old_values[self.old_ends[r] : self.old_ends[r + 1]]
-        self.values.extend(v)
-        self.ends.append(len(self.values))
-        r = self[word] = len(self.ends) - 2
-        return r
 
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.old, self.old_values, self.old_ends = dict(self), self.values, self.ends
-            self._fresh()
+def spans_of(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + length - 1 of every span, one span after another."""
+    at = np.repeat(begin - (np.cumsum(length) - length), length)
+    at += np.arange(len(at))
+    return at
+
+
+class Words:
+    """The words (runs of other bytes than the six ASCII blanks) of a block of texts.
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Views of values and ends; to be let go before the cache grows again."""
-        return np.frombuffer(self.values, self.code) if len(self.values) else np.empty(0, self.code), np.frombuffer(self.ends, np.int64)
+    ``n``: words of each text; ``hash``: 64 bits of each word, a sum over its bytes of random
+    numbers times odd numbers for their places, mixed with its length."""
+
+    def __init__(self, texts: Sequence[bytes], cut: Callable | None = None):
+        """``cut``: (bytes before, bytes) -> where a word is cut in front of a byte."""
+        self.page = b"\n".join(texts)
+        raw = np.frombuffer(self.page, np.uint8)
+        inside = np.concatenate([[False], ~_blank[raw], [False]])
+        begins = inside[1:-1] & ~inside[:-2]
+        if cut is not None and len(raw):
+            begins[1:] |= inside[1:-2] & inside[2:-1] & cut(raw[:-1], raw[1:])
+        self.start = np.flatnonzero(begins)
+        self.end = np.flatnonzero(inside[:-1] & np.concatenate([begins | ~inside[1:-1], [True]]))
+        begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        self.n = np.diff(np.searchsorted(self.start, begin))
+        self.hash = np.empty(len(self.start), np.uint64)
+        length = self.end - self.start
+        total = np.cumsum(length)
+        at = 0
+        while at < len(length):  # a slice of about SLICE bytes at a time
+            done = total[at] - length[at]
+            to = max(at + 1, int(np.searchsorted(total, done + SLICE, side="right")))
+            self.hash[at:to] = self._hashes(raw, self.start[at:to], length[at:to])
+            at = to
+
+    @staticmethod
+    def _hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        first = np.cumsum(length) - length
+        place = spans_of(np.zeros(len(length), np.int64), length)
+        by_place = _of_place[place & 0xFFFF]
+        if length.max() > 0x10000:
+            by_place = by_place + (mix64(place.astype(np.uint64) >> np.uint64(16)) << np.uint64(1))
+        sums = np.add.reduceat(_of_byte[raw[np.repeat(start, length) + place]] * by_place, first)
+        return np.maximum(mix64(sums + length.astype(np.uint64) * _MULTIPLIERS[2]), np.uint64(1))  # 0 means an empty slot
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.page[self.start[k] : self.end[k]]
+
+    def ends(self) -> np.ndarray:
+        """Number of words up to the end of each text, with a 0 before."""
+        return np.concatenate([[0], np.cumsum(self.n)])
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` consecutive words, before mixing."""
+    s = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for j in range(width):
+        s += h[j : j + len(s)] * _MULTIPLIERS[j]
+    return s
+
+
+class Known:
+    """What is known of words: a vector of numbers for each, found by the word's hash.
+
+    The words themselves aren't held. ``make`` takes a list of new words and gives a vector for
+    each. When more than ``most`` words or ``room`` numbers are held, those met last stay, half of either."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[Sequence]], dtype, most: int = CACHE_ENTRIES, room: int = CACHE_NUMBERS):
+        self.make, self.dtype, self.most, self.room, self.turn = make, dtype, most, room, 0
+        self.begin, self.length, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.met = np.zeros(0, np.int64)  # by row, as the three above
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by key
+        self._empty_slots()
+
+    def _empty_slots(self) -> None:
+        """The first look: one word for each slot, by the hash's upper bits."""
+        self.slot_key, self.slot_row = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+
+    def rows(self, words: Words) -> np.ndarray:
+        """The row of each word, good for spread() until the next call."""
+        self._trim()
+        self.turn += 1
+        slot = (words.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.slot_row[slot].astype(np.int64)
+        rest = np.flatnonzero(self.slot_key[slot] != words.hash)
+        if len(rest):
+            u, first, inverse = np.unique(words.hash[rest], return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.key, u), max(0, len(self.key) - 1))
+            new = np.flatnonzero(self.key[at] != u) if len(self.key) else np.arange(len(u))
+            if len(new):
+                self._learn(u[new], [words[k] for k in rest[first[new]].tolist()])
+                at = np.searchsorted(self.key, u)
+            own = self.row[at]
+            out[rest] = own[inverse]
+            slot = (u >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            self.slot_key[slot] = u
+            self.slot_row[slot] = own  # of several words in one slot the last one stays, here as above
+        self.met[out] = self.turn
+        return out
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        got = self.make(words)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        rows, place = len(self.begin) + np.arange(len(got)), np.searchsorted(self.key, keys)
+        self.begin = np.concatenate([self.begin, len(self.values) + np.cumsum(size) - size])
+        self.length, self.met = np.concatenate([self.length, size]), np.concatenate([self.met, np.zeros(len(got), np.int64)])
+        self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum()))])
+        self.key, self.row = np.insert(self.key, place, keys), np.insert(self.row, place, rows)
 
     def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of these rows one after another, and the length of each."""
-        values, ends = self.table()
-        begin = ends[rows]
-        length = ends[rows + 1] - begin
-        at = np.repeat(begin - (np.cumsum(length) - length), length)
-        at += np.arange(len(at))
-        return values[at], length
+        length = self.length[rows]
+        return self.values[spans_of(self.begin[rows], length)], length
+
+    def _trim(self) -> None:
+        if len(self.key) <= self.most and len(self.values) <= self.room:
+            return
+        order = np.argsort(-self.met[self.row], kind="stable")  # last met first
+        fits = (np.arange(len(order)) < self.most // 2) & (np.cumsum(self.length[self.row[order]]) <= self.room // 2)
+        stay = np.sort(order[fits])
+        rows = self.row[stay]
+        self.values, self.length = self.spread(rows)
+        self.begin, self.met = np.cumsum(self.length) - self.length, self.met[rows]
+        self.key, self.row = self.key[stay], np.arange(len(stay))
+        self._empty_slots()
 
 
 _held: list = []
@@ -229,12 +336,3 @@ def looked_up(cache: WordCache, texts: list[list[bytes]], dtype=np.int64) -> tup
 def crc_fold(column: str, mod: int):
     """crc32 of the number as text, by the fold's modulus."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit hashes (splitmix64)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))

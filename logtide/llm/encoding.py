@@ -1,10 +1,10 @@
 """Token ids of whole texts, word by word, as the tokenizers library gives them.
 
-The vocabulary's pre-tokenizer never lets a token reach over white space, so a
-text's ids are those of its blank-separated chunks one after another. Chunks are
-kept in a bounded cache of the worker; a chunk of the form letters + punctuation
-is put together from its two parts. Chunks that hold '<' (special tokens) go to
-the library as they are.
+The vocabulary's pre-tokenizer never lets a token reach over white space, nor from a
+letter to a mark behind it (but for apostrophes); so a text's ids are those of the
+pieces between such borders one after another. A worker knows the ids of the pieces
+it met last by their hashes, in bounded arrays; new ones go to the library. '<' and
+'|' make no border: special strings go to the library as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,13 @@ _shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 _hidden = [b for b in range(256) if b not in set(_shown)]
 _byte_chars = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(_hidden)}
 _byte_table = [_byte_chars[b] for b in range(256)]
-_tail = re.compile(rb"(.*[a-z])([!-&(-/:;=-@\[-`{-~]+)", re.S)
+_letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_mark = np.array([33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in "'<|" for b in range(256)])
+
+
+def behind_letters(before: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Whether a border lies between two bytes: a letter, then a mark."""
+    return _letter[before] & _mark[byte]
 
 
 class Encoder:
@@ -34,33 +40,23 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
-        self.cache = C.VectorCache(self.ids, "H", most)
+        self.known = C.Known(lambda pieces: list(map(self.ids, pieces)), np.uint16, most)
 
-    def ids(self, chunk: bytes) -> list[int]:
-        if _letters.fullmatch(chunk):
-            return [t.id for t in self.model.tokenize(chunk.decode())]
-        if b"<" not in chunk and (m := _tail.fullmatch(chunk)):
-            return [*self.cached(m[1]), *self.cached(m[2])]
-        word = chunk.decode()
+    def ids(self, piece: bytes) -> list[int]:
+        if _letters.fullmatch(piece):
+            return [t.id for t in self.model.tokenize(piece.decode())]
+        word = piece.decode()
         if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one pre-token as it is
-            return [t.id for t in self.model.tokenize("".join([_byte_table[b] for b in chunk]))]
+            return [t.id for t in self.model.tokenize("".join([_byte_table[b] for b in piece]))]
         return self.tok.encode(word, add_special_tokens=False).ids
 
-    def cached(self, chunk: bytes):
-        return self.cache.row(self.cache[chunk])
-
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id behind it; ids of each text."""
-        chunks = []
-        for t in texts:
-            t = t or b""
-            # lower-casing first is the same, but for marks that join with a letter and for the special tokens
-            chunks.append((t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower()).split())
-        rows, n_words = C.looked_up(self.cache, chunks)
-        flat, per_word = self.cache.spread(rows)
-        self.cache.trim()
-        at = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(n_words)])]
-        n = np.diff(at)
+        # lower-casing first is the same, but for marks that join with a letter and for the special tokens
+        lowered = [t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.lower() for t in (t or b"" for t in texts)]
+        words = C.Words(lowered, behind_letters)
+        flat, size = self.known.spread(self.known.rows(words))
+        n = np.diff(np.concatenate([[0], np.cumsum(size)])[words.ends()])
         out = np.empty(len(flat) + len(texts), np.uint16)
         end = np.cumsum(n + 1) - 1
         body = np.ones(len(out), bool)

@@ -104,9 +104,8 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.
     return Ordinal(weight, free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))]))
 
 
-class Features(C.VectorCache):
-    def __init__(self):
-        super().__init__(features, "i")
+def known_features() -> C.Known:
+    return C.held("features", lambda: C.Known(lambda tokens: list(map(features, tokens)), np.int32))
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text: str = "text", rating: str = "rating", sample: int = SAMPLE) -> Ordinal | None:
@@ -117,11 +116,9 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
 
     def count(batches):
         for part, raw in C.blocks(batches, "text"):
-            cache = C.held("features", Features)
-            rows, n = C.looked_up(cache, [(t or b"").split() for t in raw])
-            flat, per = cache.spread(rows)
-            at = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(n)])]
-            cache.trim()
+            words, known = C.Words([t or b"" for t in raw]), known_features()
+            flat, per = known.spread(known.rows(words))
+            at, n = np.concatenate([[0], np.cumsum(per)])[words.ends()], words.n
             got = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield C.out_batch({"id": pa.int64(), "grade": pa.int32(), "n": pa.int64(), "slots": pa.binary(), "counts": pa.binary()}, id=C.column(part, "_id").cast(pa.int64()), grade=C.column(part, "_grade"), n=n, slots=[s.astype("<i4").tobytes() for s, _ in got], counts=[c.astype("<i4").tobytes() for _, c in got])
 
@@ -135,11 +132,9 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     return fit_ordinal(np.repeat(np.arange(len(size)), size), np.concatenate(slots), value, grade, int(grade.max()) + 1)
 
 
-class Positions(C.WordCache):
+def known_positions(key: str, model: Ordinal) -> C.Known:
     """What a token adds to its document's position."""
-
-    def __init__(self, model: Ordinal):
-        super().__init__(lambda chunk: float(model.weight[features(chunk)].sum()))
+    return C.held(("positions", key), lambda: C.Known(lambda tokens: [(float(model.weight[features(t)].sum()),) for t in tokens], np.float64))
 
 
 SCHEMA = "doc_id long, z double, expected_grade double, tail double, predicted_grade int, kept boolean"
@@ -152,13 +147,10 @@ def grade_texts(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id",
 
     def run(batches):
         m = shared.value or Ordinal(np.zeros(SLOTS), np.array([-35.0]))
-        cache = C.held(("positions", key), lambda: Positions(m))
         for part, raw in C.blocks(batches, "text"):
-            flat, n = C.looked_up(cache, [(t or b"").split() for t in raw], np.float64)
-            cache.trim()
-            total = np.concatenate([[0.0], np.cumsum(flat)])
-            at = np.concatenate([[0], np.cumsum(n)])
-            z = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+            words, known = C.Words([t or b"" for t in raw]), known_positions(key, m)
+            total, at = np.concatenate([[0.0], np.cumsum(known.spread(known.rows(words))[0])]), words.ends()
+            z = (total[at[1:]] - total[at[:-1]]) / np.maximum(words.n, 1)
             tails = m.tails(z)
             chosen = tails[:, min(select, tails.shape[1]) - 1]
             yield C.out_batch(types, doc_id=C.column(part, "doc_id"), z=z, expected_grade=tails.sum(axis=1), tail=chosen, predicted_grade=(tails >= 0.5).sum(axis=1), kept=chosen >= keep_at)

@@ -16,7 +16,6 @@ base rules are kept; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +39,12 @@ _punct = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 # --- statistics ---------------------------------------------------------------
 
 
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-
-
-def _hashes() -> C.WordCache:
-    return C.held("word hashes", lambda: C.WordCache(_word_hash))
-
-
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
-
-
 def repeated_words(h: np.ndarray, width: int = 5) -> int:
     """Words inside windows of ``width`` words that occur twice or more; h: the words' hashes."""
     n = len(h) - width + 1
     if n < 2:
         return 0
-    w = np.zeros(n, np.uint64)
-    for j in range(width):
-        w += h[j : j + n] * _MULTIPLIERS[j]
+    w = C.mix64(C.windows(h, width))
     order = np.argsort(w, kind="stable")
     same = w[order][1:] == w[order][:-1]
     if not same.any():
@@ -73,22 +59,25 @@ def repeated_words(h: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
-def statistics(text: bytes | None) -> tuple[tuple[int, int, int, int, int], list[float]]:
-    """The counts of the contract and the features of the trees."""
-    text = text or b""
-    words = text.split()
-    n = len(words)
-    bare = text.translate(None, BLANKS)
-    chars = len(bare) if bare.isascii() else len(bare.decode())
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
-    dup = len(lines) - len(set(lines))
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, n)
-    repeat = repeated_words(h)
-    size, per_word = max(1, len(bare)), max(1, n)
-    share = lambda drop: (len(bare) - len(bare.translate(None, drop))) / size
-    ends = sum(x.rstrip(BLANKS)[-1:] in (b".", b"!", b"?") for x in lines)
-    return (n, chars, symbols, dup, repeat), [float(np.log1p(n)), chars / per_word, symbols / size, dup / max(1, len(lines)), repeat / per_word, share(_upper), share(_digits), share(_punct), len(set(words)) / per_word, ends / max(1, len(lines)), float(max(map(len, words), default=0))]
+def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the contract and the features of the trees, a row for each text."""
+    texts = [t or b"" for t in texts]
+    words = C.Words(texts)
+    counts, features, ends, size = [], [], words.ends().tolist(), words.end - words.start
+    for text, a, b in zip(texts, ends, ends[1:], strict=False):
+        h, n = words.hash[a:b], b - a
+        bare = text.translate(None, BLANKS)
+        chars = len(bare) if bare.isascii() else len(bare.decode())
+        symbols = len(text) - len(text.translate(None, SYMBOLS))
+        lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
+        dup = len(lines) - len(set(lines))
+        repeat = repeated_words(h)
+        n_bytes, per_word = max(1, len(bare)), max(1, n)
+        share = lambda drop: (len(bare) - len(bare.translate(None, drop))) / n_bytes  # noqa: B023, E731
+        stops = sum(x.rstrip(BLANKS)[-1:] in (b".", b"!", b"?") for x in lines)
+        counts.append((n, chars, symbols, dup, repeat))
+        features.append((np.log1p(n), chars / per_word, symbols / n_bytes, dup / max(1, len(lines)), repeat / per_word, share(_upper), share(_digits), share(_punct), len(np.unique(h)) / per_word, stops / max(1, len(lines)), size[a:b].max(initial=0)))
+    return np.array(counts, np.int64).reshape(-1, 5), np.array(features, float).reshape(-1, len(FEATURES))
 
 
 # --- trees --------------------------------------------------------------------
@@ -187,9 +176,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
 
     def measure(batches):
         for part, texts in C.blocks(batches, "text"):
-            x = [statistics(t)[1] for t in texts]
-            _hashes().trim()
-            yield C.out_batch({"grade": pa.float64(), "x": pa.list_(pa.float64())}, grade=C.column(part, "_grade"), x=x)
+            yield C.out_batch({"grade": pa.float64(), "x": pa.list_(pa.float64())}, grade=C.column(part, "_grade"), x=list(statistics(texts)[1]))
 
     got = C.map_arrow(rows, measure, "grade double, x array<double>").toPandas()
     y = (got["grade"].to_numpy() >= 0.5).astype(float)
@@ -206,11 +193,9 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text: st
 
     def run(batches):
         for part, texts in C.blocks(batches, "text"):
-            got = [statistics(t) for t in texts]
-            _hashes().trim()
-            counts = np.array([c for c, _ in got], np.int64).reshape(-1, 5)
+            counts, x = statistics(texts)
             model = shared.value
-            score = model.score(np.array([x for _, x in got])) if model else np.ones(len(got))
+            score = model.score(x) if model else np.ones(len(x))
             n, repeat = counts[:, 0], counts[:, 4]
             failed = (n < 10) | (100 * repeat > 20 * n)
             yield C.out_batch(types, doc_id=C.column(part, "doc_id"), n_words=n, word_chars=counts[:, 1], n_symbols=counts[:, 2], n_dup_lines=counts[:, 3], n_repeat_words=repeat, base_failed=failed, kept=~failed & (score >= keep_at), score=score)

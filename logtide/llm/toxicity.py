@@ -257,9 +257,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
 # --- operator -----------------------------------------------------------------
 
 
-class Contributions(C.VectorCache):
-    def __init__(self, field: Field):
-        super().__init__(lambda chunk: field.word(core(chunk)), "f")
+def known_words(key: str, field: Field) -> C.Known:
+    return C.held(("toxicity", key), lambda: C.Known(lambda chunks: [field.word(core(c)) for c in chunks], np.float32))
 
 
 _word = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -290,14 +289,13 @@ def tag(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str
                 highest, found = np.zeros(len(texts)), [[] for _ in texts]
                 count, score = highest, highest
             else:
-                cache = C.held(("toxicity", key), lambda: Contributions(f))
-                rows, n = C.looked_up(cache, [(t or b"").split() for t in texts])
-                own, before, after = cache.table()[0].reshape(-1, 3).T.astype(float)
-                e, inner = own[rows], _inner(n)
-                e[inner] += before[rows[inner - 1]]
-                e[inner - 1] += after[rows[inner]]
+                words, known = C.Words([t or b"" for t in texts]), known_words(key, f)
+                n, inner = words.n, _inner(words.n)
+                own, before, after = known.spread(known.rows(words))[0].reshape(-1, 3).T.astype(float)
+                e = own.copy()
+                e[inner] += before[inner - 1]
+                e[inner - 1] += after[inner]
                 p = marginals(*messages(e, n, f.step, f.start))
-                cache.trim()
                 highest, count = per_document(p, n)
                 score, ends = f.score(highest, count), np.cumsum(n)
                 found = [spans(t, p[b - m : b]) if c else [] for t, b, m, c in zip(texts, ends.tolist(), n.tolist(), count.tolist(), strict=True)]
