@@ -16,7 +16,7 @@ over the border of two documents. A block stores
 The number of rules is bounded so that a symbol takes 16 bits. Spark's Parquet
 writer frames the blocks: its commit protocol makes a lost executor harmless, and
 any store Spark can write to will do. ``decode_block`` expands a whole block,
-``decode_slice`` only the symbols that cover the ids asked for.
+``decode_slice`` opens only the rules that hold the ids asked for.
 
 Defined results: a null text is an empty one (its only id is the end id); rows
 with equal ids stand side by side, ordered by their texts; a null id comes first;
@@ -39,11 +39,29 @@ from .encoding import worker_encoder
 VOCAB = 49_408
 BLOCK_TOKENS = 2_000_000
 MAX_RULES = 65_536 - VOCAB
-PER_ROUND, MIN_COUNT = 4_096, 16
+#: Pairs replaced after one count; the fewest places of a pair: a rule takes 12 bytes, each place saves 2.
+PER_ROUND, MIN_COUNT = 4_096, 7
+COUNT_BITS = 20
 FILE_SCHEMA = "part int, block int, start long, n_tokens long, doc_ids array<long>, doc_symbols array<int>, doc_tokens array<int>, left binary, right binary, lengths binary, symbols binary"
 _file_types = {"part": pa.int32(), "block": pa.int32(), "start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "doc_symbols": pa.list_(pa.int32()), "doc_tokens": pa.list_(pa.int32()), "left": pa.binary(), "right": pa.binary(), "lengths": pa.binary(), "symbols": pa.binary()}
 
 
+def frequent_pairs(code: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Up to ``most`` of the codes, the most frequent ones first, that occur ``least`` times or more.
+
+    Counts by slots, which are never too low, show which codes can be among them; only those are sorted."""
+    slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNT_BITS)
+    slot = slot.astype(np.int64)
+    upper = np.bincount(slot, minlength=1 << COUNT_BITS)
+    high = upper[upper >= least]
+    if not len(high):
+        return code[:0]
+    enough = least if len(high) <= most else int(np.partition(high, len(high) - most)[len(high) - most])
+    pairs, count = np.unique(code[upper[slot] >= enough], return_counts=True)
+    top = np.flatnonzero(count >= least)
+    return pairs[top[np.lexsort((pairs[top], -count[top]))][:most]]
+
+
 def repair(ids: np.ndarray, n: np.ndarray, vocab: int = VOCAB, max_rules: int = MAX_RULES, per_round: int = PER_ROUND, min_count: int = MIN_COUNT):
     """The grammar of documents given one after another: (left, right, symbols, symbols of each document)."""
     seq = ids.astype(np.int64)
@@ -56,22 +74,20 @@ def repair(ids: np.ndarray, n: np.ndarray, vocab: int = VOCAB, max_rules: int =
     while len(left) < max_rules and len(seq) > 1:
         code = (seq[:-1] << 20) | seq[1:]
         free = ~last[:-1]
-        pairs, count = np.unique(code[free], return_counts=True)
-        top = np.flatnonzero(count >= min_count)
-        if not len(top):
+        chosen = frequent_pairs(code[free], min(per_round, max_rules - len(left)), min_count)
+        if not len(chosen):
             break
-        top = top[np.lexsort((pairs[top], -count[top]))][: min(per_round, max_rules - len(left))]
         slot_of = lambda c: (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        table = np.full(1 << bits, -1, np.int64)
-        slots = slot_of(pairs[top])
-        table[slots[::-1]] = np.arange(len(top))[::-1]  # of two pairs in one slot the more frequent one goes first, the other in a later round
-        used = table[slots] == np.arange(len(top))
-        top = top[used]
+        table = np.full(1 << bits, -1, np.int32)
+        slots = slot_of(chosen)
+        table[slots[::-1]] = np.arange(len(chosen))[::-1]  # of two pairs in one slot the more frequent one goes first, the other in a later round
+        used = table[slots] == np.arange(len(chosen))
         table[:] = -1
-        table[slots[used]] = np.arange(len(top))
-        chosen = pairs[top]
+        chosen = chosen[used]
+        table[slots[used]] = np.arange(len(chosen))
         which = table[slot_of(code)]
-        hit = np.flatnonzero(free & (which >= 0) & (chosen[which] == code))
+        hit = np.flatnonzero(free & (which >= 0))
+        hit = hit[chosen[which[hit]] == code[hit]]
         if not len(hit):
             break
         new_run = np.concatenate([[True], np.diff(hit) > 1])
@@ -87,6 +103,14 @@ def repair(ids: np.ndarray, n: np.ndarray, vocab: int = VOCAB, max_rules: int =
     return left.astype("<u4"), right.astype("<u4"), seq.astype("<u2"), np.diff(np.concatenate([[0], ends]))
 
 
+def _size(symbols: np.ndarray, lengths: np.ndarray, vocab: int) -> np.ndarray:
+    """Ids of each symbol; ``lengths`` are those of the rules."""
+    symbols = symbols.astype(np.int64)
+    if not len(lengths):
+        return np.ones(len(symbols), np.int64)
+    return np.where(symbols >= vocab, lengths[np.maximum(symbols - vocab, 0)], 1).astype(np.int64)
+
+
 def expansion_lengths(left: np.ndarray, right: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
     """Ids of each rule; a rule uses ids and earlier rules only."""
     out = [0] * len(left)
@@ -96,35 +120,61 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, vocab: int = VOCAB) -
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, vocab: int = VOCAB) -> np.ndarray:
-    """The ids of the symbols: every rule is written out once, then one gather does the rest."""
-    full: list[list[int]] = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        full.append((full[a - vocab] if a >= vocab else [a]) + (full[b - vocab] if b >= vocab else [b]))
-    size = np.array([len(x) for x in full], np.int64)
-    table = np.concatenate([np.arange(vocab), np.array([i for x in full for i in x], np.int64)]).astype("<u4")
+    """The ids of the symbols: every rule is written out once, those of one depth together; then one gather does the rest."""
+    size = expansion_lengths(left, right, vocab).astype(np.int64)
+    parts = np.stack([left, right]).astype(np.int64)
     begin = np.concatenate([np.arange(vocab), vocab + np.cumsum(size) - size])
-    length = np.concatenate([np.ones(vocab, np.int64), size])[symbols]
-    at = np.repeat(begin[symbols] - (np.cumsum(length) - length), length)
-    at += np.arange(len(at))
-    return table[at]
+    full = np.concatenate([np.ones(vocab, np.int64), size])
+    table = np.empty(vocab + int(size.sum()), "<u4")
+    table[:vocab] = np.arange(vocab)
+    written = np.zeros(vocab + len(left), bool)
+    written[:vocab] = True
+    open_rules = np.arange(len(left))
+    while len(open_rules):
+        ready = written[parts[0, open_rules]] & written[parts[1, open_rules]]
+        now, open_rules = open_rules[ready], open_rules[~ready]
+        a, b = parts[:, now]
+        to = begin[vocab + now]
+        table[C.spans_of(to, full[a])] = table[C.spans_of(begin[a], full[a])]
+        table[C.spans_of(to + full[a], full[b])] = table[C.spans_of(begin[b], full[b])]
+        written[vocab + now] = True
+    return table[C.spans_of(begin[symbols], full[symbols])]
 
 
 def decode_block(block: dict) -> np.ndarray:
     return expand(np.frombuffer(block["symbols"], "<u2"), np.frombuffer(block["left"], "<u4"), np.frombuffer(block["right"], "<u4"))
 
 
-def decode_slice(block: dict, doc: int, start: int = 0, length: int | None = None) -> np.ndarray:
-    """Ids start .. start + length of the block's document number ``doc``, without expanding the rest."""
+def decode_slice(block: dict, doc: int, start: int = 0, length: int | None = None, opened: set[int] | None = None) -> np.ndarray:
+    """Ids start .. start + length of the block's document number ``doc``: from the symbols that hold
+    them down the rules, past every part that ends before or begins behind them by its length.
+
+    ``opened``: takes the rules that were opened."""
     first = int(sum(block["doc_symbols"][:doc]))
     symbols = np.frombuffer(block["symbols"], "<u2")[first : first + int(block["doc_symbols"][doc])]
-    lengths = np.frombuffer(block["lengths"], "<u4")
-    size = np.where(symbols >= VOCAB, lengths[np.maximum(symbols.astype(np.int64) - VOCAB, 0)] if len(lengths) else 1, 1)
-    ends = np.cumsum(size)
+    left, right, lengths = (np.frombuffer(block[k], "<u4") for k in ("left", "right", "lengths"))
+    ends = np.cumsum(_size(symbols, lengths, VOCAB))
     stop = int(ends[-1]) if length is None else min(start + length, int(ends[-1]))
+    if stop <= start:
+        return np.zeros(0, "<u4")
     a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
-    ids = expand(symbols[a:b], np.frombuffer(block["left"], "<u4"), np.frombuffer(block["right"], "<u4"))
-    skip = start - (int(ends[a - 1]) if a else 0)
-    return ids[skip : skip + max(0, stop - start)]
+    place = int(ends[a - 1]) if a else 0
+    todo, out = symbols[a:b][::-1].tolist(), []
+    while todo:
+        symbol = todo.pop()
+        size = int(lengths[symbol - VOCAB]) if symbol >= VOCAB else 1
+        if place >= stop:
+            break
+        if place + size <= start:
+            place += size
+        elif symbol < VOCAB:
+            out.append(symbol)
+            place += 1
+        else:
+            if opened is not None:
+                opened.add(symbol - VOCAB)
+            todo += [int(right[symbol - VOCAB]), int(left[symbol - VOCAB])]
+    return np.array(out, "<u4")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
