@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -44,14 +45,20 @@ def importable(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which all machines must share; where that
+    is unset, a temporary one in a local session, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(scratch_dir, "fallback", None) or tempfile.mkdtemp(prefix="scratch-")
         scratch_dir.fallback = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: the lineage is cut,
     and a lost executor costs no more than the tasks it ran."""
@@ -59,17 +66,41 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables that stored() wrote and nothing reads any more."""
     for df in frames:
+        for scope in _scopes:
+            scope[:] = [x for x in scope if x is not df]
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tidied():
+    """Deletes on leaving what was stored inside, but for the tables given to the function it yields."""
+    scope: list[DataFrame] = []
+    _scopes.append(scope)
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(scope)
+        dropped(*[x for x in scope if not any(x is k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(x for x in scope if any(x is k for k in kept))
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     importable(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -99,18 +99,19 @@ def _covered(hits: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated; then n_near_items
     (items with a window whose rarest terms stand within ``slop`` of their distance), items, spans, ``carry``."""
-    names = keyed(docs, id_col, text)
-    windows = C.stored(benchmark_windows(benchmark, item_col, item_text, window).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "terms"))))
-    n_windows = windows.count()
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    n_terms = terms.count()
-    counts = C.stored(term_counts(names, terms, n_terms))
-    rare = C.stored(rarest_terms(windows, counts, n_terms))
-    seeds = rare.select(F.col("t1").alias("term")).union(rare.where("t2 is not null").select("t2")).distinct()
-    index = C.stored(postings(names, seeds, n_terms))
-    found = candidates(index, rare, n_windows, slop).join(bounded(windows, n_windows), "window_id")
-    exact = F.when((F.col("gap") == 0) & (F.col("start") >= 0), F.struct("start", "terms", "items"))
-    by_doc = C.stored(found.groupBy("k1", "k2").agg(F.collect_set(exact).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near")))
+    with C.tidied() as keep:
+        names = keyed(docs, id_col, text)
+        windows = C.stored(benchmark_windows(benchmark, item_col, item_text, window).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "terms"))))
+        n_windows = windows.count()
+        terms = windows.select(F.explode("terms").alias("term")).distinct()
+        n_terms = terms.count()
+        counts = C.stored(term_counts(names, terms, n_terms))
+        rare = C.stored(rarest_terms(windows, counts, n_terms))
+        seeds = rare.select(F.col("t1").alias("term")).union(rare.where("t2 is not null").select("t2")).distinct()
+        index = C.stored(postings(names, seeds, n_terms))
+        found = candidates(index, rare, n_windows, slop).join(bounded(windows, n_windows), "window_id")
+        exact = F.when((F.col("gap") == 0) & (F.col("start") >= 0), F.struct("start", "terms", "items"))
+        by_doc = keep(C.stored(found.groupBy("k1", "k2").agg(F.collect_set(exact).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near"))))
     # candidate documents grow with the corpus: they are dealt out by their key with the documents, whatever their number
     joined = keyed(docs, id_col, text, carry).join(by_doc.hint("shuffle_hash"), ["k1", "k2"], "left")
     kept = [f"_c_{c}" for c in carry]

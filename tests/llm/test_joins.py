@@ -78,10 +78,14 @@ def near(spark, hard):
     return hard.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(4)
 
 
-@pytest.mark.parametrize("most, block", [(200_000, 256), (0, 3)])
-def test_jaccard_components(near, monkeypatch, most, block):
+@pytest.mark.parametrize("most, block, room", [(200_000, 1_024, 400_000), (0, 3, 200)])
+def test_jaccard_components(near, monkeypatch, most, block, room):
+    """Also with blocks of three classes, families cut at 200 shingles and nothing broadcast."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ROOM", room)
+    monkeypatch.setattr(jaccard_join, "SKETCH", 4 * room)
+    monkeypatch.setattr(jaccard_join, "FEW_EDGES", most // 2)
     got = jaccard_join.jaccard_components(near).select("doc_id", "n_shingles", "component_id").collect()
     want = brute.linked(pairs(near))
     assert ordered(got) == ordered(want)
@@ -105,6 +109,60 @@ def test_jaccard_of_columns_cut_between_tasks(spark):
     assert ordered(got) == ordered(brute.linked(rows))
 
 
+def near_copies(n, words, changed, seed=7):
+    """Texts of one base, each with its own words at ``changed`` places: mutually below the limit, or about it."""
+    rng = random.Random(seed)
+    base = sentence(rng, words).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), changed):
+            w[at] = f"own{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """One column of some thousand classes that hardly link: its edges are a forest, not pairs, and nothing is lost."""
+    seen = {}
+    for name in ("column_families", "in_blocks"):
+        real_one = getattr(jaccard_join, name)
+
+        def counted(*args, name=name, real_one=real_one):
+            out = jaccard_join.C.stored(real_one(*args))
+            seen[name] = out.count()
+            return out
+
+        monkeypatch.setattr(jaccard_join, name, counted)
+    texts = near_copies(1_200, 60, 2) + near_copies(30, 60, 1, seed=8)
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(brute.linked(rows))
+    assert seen["column_families"] <= 16 * len(rows) and seen["in_blocks"] <= 4 * len(rows)
+
+
+def test_a_column_of_5000_classes(spark):
+    """The product of one column of 5,000 classes gives at most one edge for each of them and block pair."""
+    from pyspark.sql import functions as F
+
+    cell = bytes([5, *[0] * 255])
+    entries = spark.range(5_000).select(F.lit(1).alias("h"), F.col("id").alias("node"), F.lit(5).cast("long").alias("n"), F.col("id").alias("comp"), F.lit(cell).alias("cells"), F.lit(5_000).cast("long").alias("size"), F.lit(0).cast("long").alias("lo"), F.lit(1).alias("parts"))
+    edges = jaccard_join.column_families(entries)
+    found = jaccard_join.components(edges)
+    assert 4_999 <= edges.count() <= 5_000 * 10
+    assert found.count() == 4_999 and [r.m for r in found.select("m").distinct().collect()] == [0]
+
+
+def test_joined_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    left = jaccard_join.C.stored(spark.range(60_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k"))
+    right = jaccard_join.C.stored(spark.range(100).selectExpr("id AS k", "id * 2 AS v"))
+    for how, size in (("inner", 30_000 + 50), ("left", 60_000)):
+        got = jaccard_join.joined(left, right, "k", how)
+        assert got.count() == size and got.where("v = 14").count() == 30_001
+
+
 def test_jaccard_of_real_and_of_nothing(real, none):
     got = jaccard_join.jaccard_components(real).select("doc_id", "n_shingles", "component_id").collect()
     assert ordered(got) == ordered(brute.linked(pairs(real)))
