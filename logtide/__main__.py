@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-t", "--tf", help="the field that holds the timestamp (a->b in JSON)")
     a.add_argument("-q", "--quick", action="store_true", help="no hashes, duplicates and redactions")
     a.add_argument("-m", "--multipart", action="store_true", help="all files are parts of one log")
-    a.add_argument("-v", "--verbose", action="store_true")
+    a.add_argument("-v", "--verbose", action="store_true", help="list the files and what was found in each")
     o = a.parse_args(argv)
     if o.printregexes:
         for f in builtin_formats():
@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     formats = user_formats(o.regexes) if o.regexes else builtin_formats()
     run = analyze.analyze(spark, Settings(o.input, o.output, o.tf, formats, o.quick, o.multipart))
     sinks.write_all(run, o.output)
+    if o.verbose:
+        run.stats.select("file_path", "log_type", "column", "n_records", "n_ts", "n_errors", "one_error").orderBy("file_path").show(truncate=False)
     if o.multipart:
         m = analyze.merged(run)
         m.drop("alerts").show(truncate=False)

@@ -40,31 +40,6 @@ ALERT_THRESHOLDS = {
     "RedactionEvents": (100, 10, 0),
 }
 
-#: The statistics report, in order
-REPORT_COLUMNS = (
-    "Filename",
-    "File Path",
-    "SHA256 Hash",
-    "Size",
-    "First Data Row Used",
-    "Header Used",
-    "Timestamp Format",
-    "Total Number of Records",
-    "Number of Records Processed for Timestamp Analysis",
-    "Min Timestamp",
-    "Max Timestamp",
-    "Duration of Entire Log File (Hours)",
-    "Pretty Duration of Entire Log File",
-    "Largest Time Gap (LTG)",
-    "Duration of LTG (Hours)",
-    "Pretty Duration of LTG",
-    "Mean Milliseconds of Time Gaps",
-    "Standard Deviation of Time Gaps in Milliseconds",
-    "LTG Number of Standard Deviations Above the Mean",
-    "Duplicate Record Count",
-    "Possible Redactions Count",
-    "Error",
-)
 
 #: Records among which a CSV header is looked for
 HEADER_RECORDS = 7

@@ -108,23 +108,31 @@ def _errors(records: DataFrame, stats: DataFrame, broken: DataFrame) -> DataFram
 
 
 def merged(run: Run) -> DataFrame:
-    """All files as parts of one log; alerts are made anew, overlaps count as alerts."""
+    """All files as parts of one log; alerts are made anew, from the errors of all files too, and overlaps count as alerts."""
     parts = run.stats.select("file_path", "file_name", "n_records", "n_ts", "min_ts", "max_ts", "gap_mean_ms", "gap_var_ms", "ltg_us", "ltg_begin", "ltg_end", "n_dupes", "n_redactions")
     m = multipart.merged(parts, "file_name", "file_path").withColumns({"ltg_ms": F.expr("ltg_us div 1000"), "gap_std_ms": F.sqrt("gap_var_ms")})
     pairs = multipart.overlaps(parts, "file_name", "file_path")
     over = pairs.agg(F.sort_array(F.collect_list(F.struct("_rank", F.lit("Medium").alias("level"), F.lit("MultipartOverlap").alias("kind"), F.concat("holder", F.lit(" overlaps "), "part").alias("message")))).alias("over"))
     over = over.select(F.transform("over", lambda x: F.struct(x["level"].alias("level"), x["kind"].alias("kind"), x["message"].alias("message"))).alias("over"))
-    return alerts.with_alerts(m).crossJoin(F.broadcast(over)).withColumn("alerts", F.concat("over", "alerts")).drop("over")  # one row each
+    of_all = run.stats.agg(F.coalesce(F.max("json_errors"), F.lit(False)).alias("json_errors"), F.sum("n_errors").alias("n_errors"), F.max("one_error").alias("one_error"))
+    m = m.crossJoin(F.broadcast(of_all))
+    return alerts.with_alerts(m, json_errors="json_errors").crossJoin(F.broadcast(over)).withColumn("alerts", F.concat("over", "alerts")).drop("over")  # one row each
 
 
-def report(run: Run) -> DataFrame:
-    """The 22 columns of the statistics report, one row per file."""
+#: What a file has and a merged log doesn't.
+_OF_FILES = {"file_name": "string", "file_path": "string", "sha256": "string", "size": "bigint", "first_data_row": "int", "column": "string", "format": "int"}
+
+
+def report(run: Run, stats: DataFrame | None = None) -> DataFrame:
+    """The 22 columns of the statistics report, one row per file, or for the rows of ``stats``, such as the merged log's."""
+    stats = run.stats if stats is None else stats.withColumn("file_name", F.col("name"))
+    stats = stats.withColumns({c: F.lit(None).cast(t) for c, t in _OF_FILES.items() if c not in stats.columns})
     c, t = F.col, durations
     span = t.micros_between(c("min_ts"), c("max_ts"))
     names = F.transform(F.array(*[F.lit(f.name) for f in run.settings.formats]), lambda x: x)
     error = F.when(c("n_errors") == 0, "").when(c("n_errors") == 1, c("one_error")).otherwise(F.format_string("There were %d errors during processing. Check the error log.", c("n_errors")))
     has = c("ltg_us").isNotNull()
-    return run.stats.select(
+    return stats.select(
         c("file_name").alias("Filename"),
         c("file_path").alias("File Path"),
         c("sha256").alias("SHA256 Hash"),

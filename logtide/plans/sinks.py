@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.durations import file_stem
 from ..operators import alerts, duplicates, redactions
+from ..session import stored
 from . import analyze
 
 
@@ -16,8 +17,9 @@ def error_lines(run: analyze.Run) -> DataFrame:
     return named.select(F.concat(F.lit("["), stamp, F.lit("] ["), F.upper("level"), F.lit("] ["), "file_name", F.lit("]"), "reason").alias("value"))
 
 
-def alert_lines(run: analyze.Run) -> DataFrame:
-    rows = alerts.alert_rows(run.stats, "file_path")
+def alert_lines(run: analyze.Run, merged: DataFrame | None = None) -> DataFrame:
+    """A line for each alert of each file, or of the merged log, which has no path but its name."""
+    rows = alerts.alert_rows(run.stats, "file_path") if merged is None else alerts.alert_rows(merged, "name").withColumnRenamed("name", "file_path")
     return rows.select(F.format_string("File Path:%s | Level: %s | Type %s | Message: %s", "file_path", "level", "kind", "message").alias("value"))
 
 
@@ -42,10 +44,11 @@ def _row(fields):
 
 
 def write_all(run: analyze.Run, folder: str) -> None:
-    """Adds this run's outputs below ``folder``."""
-    analyze.report(run).write.mode("append").option("header", True).csv(f"{folder}/statistics")
+    """Adds this run's outputs below ``folder``; of parts of one log, the merged one's figures and alerts."""
+    merged = stored(analyze.merged(run)) if run.settings.multipart else None
+    analyze.report(run, merged).write.mode("append").option("header", True).csv(f"{folder}/statistics")
     error_lines(run).write.mode("append").text(f"{folder}/errors")
-    alert_lines(run).write.mode("append").text(f"{folder}/alerts")
+    alert_lines(run, merged).write.mode("append").text(f"{folder}/alerts")
     if not run.settings.quick:
         duplicate_details(run).write.mode("append").partitionBy("stem").option("header", True).csv(f"{folder}/Duplicates")
         redaction_details(run).write.mode("append").partitionBy("stem").option("header", True).csv(f"{folder}/Redactions")

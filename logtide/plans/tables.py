@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import REDACTION_RULES, builtin_formats
+from ..config import builtin_formats
 from ..functions import durations, jsonpaths, timestamps
 from ..operators import alerts, duplicates, multipart, profile, redactions
 
@@ -279,5 +279,3 @@ QUERIES = {
         null_timestamps,
     )
 } | {f"ts_extract_{k + 1}": _ts_extract(k) for k in range(10)}
-
-RULES = REDACTION_RULES

@@ -104,8 +104,3 @@ def csv_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
 
 
 READERS = {"csv": csv_records, "json": json_records, "text": text_records}
-
-
-def table_records(df: DataFrame, log: Column, order: Column, ts: Column, fields: Sequence[str]) -> DataFrame:
-    """Rows of any table as records with times: file_path, idx, fields, ts."""
-    return df.select(log.cast("string").alias("file_path"), order.cast("bigint").alias("idx"), F.array(*[F.col(f).cast("string") for f in fields]).alias("fields"), ts.cast("timestamp_ntz").alias("ts"))

@@ -135,13 +135,32 @@ def test_line_numbers_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+LATER = "id,name,date\n7,Ann,2025-05-20 09:00:00\n8,Ben,2025-05-28 10:00:00\n9,Cy,2025-07-02 11:30:00\n"
+
+
 def test_multipart(spark, tmp_path):
-    r = run(spark, tmp_path, {"a.csv": BASIC, "b.csv": BASIC.replace("2025-0", "2026-0"), "c.csv": BASIC.replace("2025-05", "2026-05")})
+    r = run(spark, tmp_path, {"a.csv": BASIC, "b.csv": BASIC.replace("2025-0", "2026-0"), "c.csv": LATER})
     m = analyze.merged(r).first()
     assert (m.n_ts, m.n_overlaps, m.name) == (9, 1, "3_SUCCESSFUL_INPUT_FILES_COMBINED")
     assert ("MultipartOverlap", "Medium") in {(a.kind, a.level) for a in m.alerts}
 
 
+def test_merged_log_keeps_json_errors(spark, tmp_path):
+    good = '{"time": "2025-05-09 10:00:00"}\n{"time": "2025-05-09 11:00:00"}\n'
+    r = run(spark, tmp_path, {"a.json": good, "b.json": good.replace("05-09", "05-10") + "{oops\n"})
+    m = analyze.merged(r).first()
+    assert ("JsonError", "High") in {(a.kind, a.level) for a in m.alerts}
+
+
+def test_merged_log_is_what_is_written(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    r = run(spark, tmp_path / "in", {"a.csv": BASIC, "c.csv": LATER}, multipart=True)
+    sinks.write_all(r, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out/statistics")).collect()
+    assert [(x["Filename"], x["Total Number of Records"], x["SHA256 Hash"]) for x in rows] == [("2_SUCCESSFUL_INPUT_FILES_COMBINED", "6", None)]
+    assert any("MultipartOverlap" in x.value and "overlaps" in x.value for x in spark.read.text(str(tmp_path / "out/alerts")).collect())
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.csv").write_text(BASIC + "3,Jo,2025-06-01 13:00:00\n")
