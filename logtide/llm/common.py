@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds the memory of a Python worker.
 BLOCK_BYTES = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2_000
 #: Words that a worker's cache holds, numbers held for them.
 CACHE_ENTRIES, CACHE_NUMBERS = 400_000, 6_000_000
 SLOT_BITS = 20
@@ -102,7 +104,11 @@ def tidied():
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    importable(df.sparkSession)
+    """mapInArrow, with batches of BATCH_ROWS rows at most: texts may be long, and a batch is held in the executor and the worker."""
+    spark = df.sparkSession
+    importable(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 

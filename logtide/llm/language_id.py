@@ -112,9 +112,9 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return code, np.bincount(at, np.concatenate([p[1] for p in parts]), len(code)).astype(np.int64)
 
 
-def pieces(text: bytes | None, most: int = LONG) -> list[bytes]:
-    """A text cut at blanks into pieces of about ``most`` bytes."""
-    out, at, text = [], 0, text or b""
+def pieces(text: bytes | None) -> list[bytes]:
+    """A text cut at blanks into pieces of about LONG bytes."""
+    out, at, text, most = [], 0, text or b"", LONG
     while len(text) - at > most:
         cut = text.find(b" ", at + most)
         if cut < 0:

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
+from collections import Counter
 from itertools import combinations
 
 PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,3 +115,27 @@ def edits(needle, text):
             new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
         row = new
     return min(row)
+
+
+def ngrams(text):
+    """{code: count} of the n-grams of one to three characters; words are runs of letters and marks with a letter."""
+    out, word = Counter(), ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha() or unicodedata.category(c)[0] == "M":
+            word += c
+            continue
+        if any(x.isalpha() for x in word):
+            padded = f"_{word}_"
+            out.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != "_")
+        word = ""
+    codes = {}
+    for g, n in out.items():
+        code = 0
+        for x in g:
+            code = code << 21 | ord(x)
+        codes[code] = n
+    return codes
+
+
+def rank_order(counts, most):
+    return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]

@@ -15,10 +15,10 @@ def hard_rows():
     rng = random.Random(5)
     base = sentence(rng, 60)
     near = [" ".join([*base.split()[:-k], *["x%d" % k] * k]) for k in range(1, 4)]
-    texts = [None, "", "   \n\t ", "one", "Two words", "cc by", "…", "12 34", base, base, base.upper(), *near, "été ÉTÉ Straße naïve İstanbul 你好 世界 мир", "tab\tand\x0bothers\x0c\r\nline", "a " * 3000, sentence(rng, 4000)]
+    texts = [None, "", "   \n\t ", "one", "Two words", "cc by", "…", "12 34", "½ ² ① Ⅷ", base, base, base.upper(), *near, "été ÉTÉ Straße naïve İstanbul 你好 世界 мир", "tab\tand\x0bothers\x0c\r\nline", "a " * 3000, sentence(rng, 4000)]
     texts += ["\n".join(["same line here again now"] * 5), "licensed under the Apache License, Version 2.0 all rights reserved", "licensed undr the apache licence version 2 0", "<|endoftext|> & <b> #*$%", "éclair ▁under  double", "x" * 5000]
     rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
-    rows += [rows[9], rows[9], (8, "another text of the same id", "de", "web", 1), (None, base, None, None, None), (None, None, None, None, None), (-7, base, "fr", None, 3), (2**40, "far id " + base, "en", "books", 9)]
+    rows += [rows[10], rows[10], (8, "another text of the same id", "de", "web", 1), (None, base, None, None, None), (None, None, None, None, None), (-7, base, "fr", None, 3), (2**40, "far id " + base, "en", "books", 9)]
     return rows
 
 

@@ -1,6 +1,8 @@
 """Quality classifier, toxicity and language ID: held-out accuracy, defined results, small plain versions."""
 
 import itertools
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,12 +103,47 @@ def test_language_on_held_out_documents(larger):
 
 def test_rank_order_distance_against_a_plain_version():
     profiles = {"a": [5, 9, 1], "b": [1, 2]}
-    names, table = language_id.rank_table(profiles, 3)
-    mine = np.array([1, 1, 9, 9, 9, 7])
     order = [9, 1, 7]
     plain = {n: sum(abs(p.index(s) - k) if s in p else 3 for k, s in enumerate(order)) for n, p in profiles.items()}
     best, second = sorted(plain.values())
-    assert language_id.nearest(mine, names, table, 3) == (min(plain, key=plain.get), (second - best) / second)
+    got = language_id.Ranks(profiles, 3).nearest(np.array([1, 7, 9]), np.array([2, 1, 3]))
+    assert got == (min(plain, key=plain.get), (second - best) / second)
+
+
+@pytest.mark.parametrize("table", [1 << 22, 1])
+def test_ngrams_against_a_plain_version(monkeypatch, table):
+    monkeypatch.setattr(language_id, "TABLE", table)
+    rng = random.Random(1)
+    parts = ["a", "B", "ö", "½", "²", "①", "Ⅷ", "中", "\u0301", " ", "_", "3", "naïve", "İ", "Σας", "🙂", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(400)] + ["", None, "½ ² ①"]
+    for t, (code, n) in zip(texts, language_id.text_counts([None if t is None else t.encode() for t in texts]), strict=True):
+        want = brute.ngrams(t)
+        assert dict(zip(code.tolist(), n.tolist(), strict=True)) == want
+        assert language_id.ranked(code, n, 5).tolist() == brute.rank_order(want, 5)
+
+
+def test_a_long_text_is_counted_in_pieces(monkeypatch):
+    text = ("wörter und andere words " * 400).encode()
+    whole = language_id.text_counts([text])[0]
+    monkeypatch.setattr(language_id, "LONG", 1_000)
+    assert len(language_id.pieces(text)) > 5 and b"".join(language_id.pieces(text)) == text
+    assert all((a == b).all() for a, b in zip(language_id.text_counts([text, b"x"])[0], whole, strict=True))
+
+
+def test_profiles_and_predictions_against_a_plain_version(spark, real):
+    docs = real.limit(120).cache()
+    rows = docs.select("doc_id", "text", "lang").collect()
+    total = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and brute.fold(r.doc_id, 5) != 0:
+            total.setdefault(r.lang, Counter()).update(brute.ngrams(r.text))
+    profiles = {name: brute.rank_order(c, 300) for name, c in total.items()}
+    assert language_id.learn_profiles(docs) == profiles
+    got = {(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(docs, profiles).collect()}
+    for r in rows:
+        mine = brute.rank_order(brute.ngrams(r.text), 300)
+        far = sorted((sum(abs(p.index(g) - k) if g in p else 300 for k, g in enumerate(mine)), name) for name, p in profiles.items())
+        assert (r.doc_id, far[0][1], (far[1][0] - far[0][0]) / far[1][0]) in got if mine else (r.doc_id, "und", 0.0) in got
 
 
 def test_every_language_has_a_profile(spark):
@@ -117,10 +154,6 @@ def test_every_language_has_a_profile(spark):
     assert sorted(profiles) == sorted({r[2] for r in rows})
     got = language_id.predict(docs, profiles, carry=("lang",)).where("NOT held_out")
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
-    names, table = language_id.rank_table(profiles)
-    for _ in range(50):
-        slots = rng.choice(np.concatenate([profiles["l007"], profiles["l123"], np.arange(99)]), 200)
-        assert language_id.nearest(slots, names, language_id.SparseRanks(profiles)) == language_id.nearest(slots, names, table)
 
 
 @pytest.mark.parametrize("which", ["hard", "none"])
