@@ -1,6 +1,7 @@
 """Parts of one log merged: pooled moments, gaps and overlaps between the parts.
 
-A part is a row of a profile, so this works on as many rows as there are files.
+A part is a row of a profile. There may be many (a part for each user, say): they are
+dealt out by ranges of their starts, and only a row for each range goes through one task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import micros_between
+from ..session import stored
 
 
 def ordered_parts(parts: DataFrame, name: str, position: str | None = None) -> DataFrame:
@@ -17,11 +19,18 @@ def ordered_parts(parts: DataFrame, name: str, position: str | None = None) -> D
     The holder of the latest end changes only if a later part ends strictly later."""
     timed = parts.where("n_ts > 0")
     tie = F.col(position or name)
-    by_start = Window.orderBy("min_ts", tie)
-    ranked = timed.withColumn("_rank", F.row_number().over(by_start))
-    before = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.max(F.struct(F.col("max_ts").alias("to"), (-F.col("_rank")).alias("r"), F.col(name).cast("string").alias("holder"))).over(before)
-    return ranked.withColumn("_latest", latest).withColumns({"prev_max": F.col("_latest.to"), "holder": F.col("_latest.holder")}).drop("_latest")
+    dealt = stored(timed.withColumn("_tie", tie).repartitionByRange("min_ts", "_tie").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy("min_ts", "_tie")
+    placed = dealt.withColumn("_at", F.row_number().over(inside))
+    # ties of the latest end go to the first part: a later range or place has a smaller number here
+    end = F.struct(F.col("max_ts").alias("to"), (-F.col("_range")).alias("r"), (-F.col("_at")).alias("k"), F.col(name).cast("string").alias("holder"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("n"), F.max(end).alias("end"))
+    carried = ranges.select("_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"), F.max("end").over(earlier).alias("_carried"))
+    own = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    out = placed.withColumn("_own", own).join(F.broadcast(carried), "_range").withColumn("_latest", F.greatest("_own", "_carried"))  # as many rows as tasks
+    out = out.withColumns({"_rank": F.col("_offset") + F.col("_at"), "prev_max": F.col("_latest.to"), "holder": F.col("_latest.holder")})
+    return out.drop("_latest", "_own", "_carried", "_offset", "_at", "_range", "_tie")
 
 
 def overlaps(parts: DataFrame, name: str, position: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Records of a group follow each other in ``order``. Each is compared with the one
 before it that has a time. One group may hold most of all records, so groups are cut
-into blocks of the order column: inside a block a window gives the record before;
-between blocks only the blocks' ends are compared. The blocks' figures then add up to
-the group's, so no task ever holds a whole group.
+into blocks of the order column, more of them the more records there are: inside a
+block a window gives the record before; between blocks only the blocks' ends are
+compared. The blocks' figures then add up to the group's, so no task ever holds a whole
+group. A block is as wide as the middle of the order column says, so that a few
+outlying numbers don't press all other records into one block.
 """
 
 from __future__ import annotations
@@ -16,14 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions.durations import micros_between
 
-BLOCKS = 64
+#: Blocks at least, and records for each of them beyond.
+BLOCKS, BLOCK_RECORDS = 64, 1_000_000
+#: The middle of the order column.
+MIDDLE = (0.01, 0.99)
 
 
 def gaps(records: DataFrame, group: Sequence[str], order: str = "idx", ts: str = "ts", blocks: int = BLOCKS) -> DataFrame:
     """Every record with a time: group, _block, _idx, _ts, _prev (null at the start of a block)."""
-    ends = records.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).first()
-    lo, width = ends.lo or 0.0, max((ends.hi or 0.0) - (ends.lo or 0.0), 1.0)
-    block = F.least(F.floor((F.col(order).cast("double") - F.lit(lo)) / F.lit(width) * blocks), F.lit(blocks - 1)).cast("int")
+    place = F.col(order).cast("double")
+    middle = records.agg(F.count("*").alias("n"), F.percentile_approx(place, list(MIDDLE), 1_000).alias("ends")).first()
+    lo, hi = middle.ends or (0.0, 0.0)
+    blocks = max(blocks, middle.n // BLOCK_RECORDS)
+    block = F.floor((place - F.lit(lo)) / F.lit(max(hi - lo, 1.0)) * blocks)
     timed = records.where(F.col(ts).isNotNull()).select(*group, block.alias("_block"), F.col(order).alias("_idx"), F.col(ts).alias("_ts"))
     before = Window.partitionBy(*group, "_block").orderBy("_idx")
     return timed.withColumn("_prev", F.lag("_ts").over(before))

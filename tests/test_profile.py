@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logtide.operators import alerts, duplicates, multipart
-from logtide.operators.profile import time_profile, top_gaps
+from logtide.operators.profile import gaps, time_profile, top_gaps
 
 DAY = dt.datetime(2025, 5, 9)
 
@@ -34,6 +34,35 @@ def test_first_of_tied_gaps(spark):
     assert p.ltg_begin == DAY + dt.timedelta(hours=1)
 
 
+def test_an_outlying_index_leaves_the_blocks_alone(spark):
+    rows = [("a", i, DAY + dt.timedelta(minutes=i)) for i in range(1_000)] + [("a", 10**15, DAY + dt.timedelta(days=30))]
+    df = spark.createDataFrame(rows, "file_path string, idx long, ts timestamp_ntz")
+    assert gaps(df, ["file_path"], blocks=16).select("_block").distinct().count() > 16
+    p = time_profile(df, ["file_path"], blocks=16).first()
+    assert (p.n_ts, p.n_gaps, p.ltg_begin, p.ltg_end) == (1_001, 1_000, rows[-2][2], rows[-1][2])
+
+
+def test_blocks_grow_with_the_records(spark, monkeypatch):
+    monkeypatch.setattr("logtide.operators.profile.BLOCK_RECORDS", 10)
+    df = log(spark, list(range(500)))
+    assert gaps(df, ["file_path"], blocks=4).select("_block").distinct().count() >= 50
+    assert time_profile(df, ["file_path"], blocks=4).first().n_gaps == 499
+
+
+def test_parts_in_many_ranges(spark):
+    """Ranks, latest ends and their holders as one pass over the sorted parts gives them, with ties in all."""
+    rng = random.Random(4)
+    parts = [(f"p{k:03}", DAY + dt.timedelta(hours=a), DAY + dt.timedelta(hours=a + rng.randrange(9)), 1) for k, a in enumerate(rng.randrange(60) for _ in range(300))]
+    df = spark.createDataFrame(parts, "part string, min_ts timestamp_ntz, max_ts timestamp_ntz, n_ts long")
+    got = {r.part: (r._rank, r.prev_max, r.holder) for r in multipart.ordered_parts(df, "part").collect()}
+    want, latest, holder = {}, None, None
+    for k, (part, begin, end, _) in enumerate(sorted(parts, key=lambda p: (p[1], p[0])), 1):
+        want[part] = (k, latest, holder)
+        if latest is None or end > latest:
+            latest, holder = end, part
+    assert got == want
+
+
 def test_descending(spark):
     p = profile(spark, [15, 13, 12])
     assert p.direction == "Descending" and p.violation is None
