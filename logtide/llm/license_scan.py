@@ -15,6 +15,7 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -87,8 +88,13 @@ def fuzzy_spans(texts: list[bytes], notices=NOTICES) -> list[list[tuple[int, int
 def _best(spans: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
     """Of overlapping spans of one label, the one with the fewest edits (then the first)."""
     kept: list = []
+    held: dict[str, tuple[list[int], list[int]]] = {}  # of each label: begins and ends of what is kept, ascending
     for s in sorted(set(spans), key=lambda s: (s[3], s[0], s[1], s[2])):
-        if not any(s[2] == o[2] and s[0] < o[1] and o[0] < s[1] for o in kept):
+        begins, ends = held.setdefault(s[2], ([], []))
+        k = bisect_left(begins, s[1])
+        if not k or ends[k - 1] <= s[0]:
+            begins.insert(k, s[0])
+            ends.insert(k, s[1])
             kept.append(s)
     return sorted(kept)
 
@@ -96,7 +102,8 @@ def _best(spans: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, i
 def base_places(text: bytes, base=BASE) -> list[tuple[int, str]]:
     """(word number, label) of every place of a base phrase."""
     padded = b" " + text + b" "
-    return sorted((padded.count(b" ", 0, at), label) for phrase, label in base for at in places(padded, b" " + phrase + b" "))
+    blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
+    return sorted((int(np.searchsorted(blanks, at)), label) for phrase, label in base for at in places(padded, b" " + phrase + b" "))
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<begin:long,end:long,label:string,edits:long>>"
