@@ -158,8 +158,13 @@ def _split(start: np.ndarray, length: np.ndarray, count: np.ndarray) -> tuple[np
 def pieces(s: Schedule, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """Cuts documents (n ids from place x of queue q) at the ends of rounds and of sequences."""
     first, last = s.rounds_of(q, x, n)
-    row, at = _split(x, n, last - first + 1)
-    k, q = first[row] + at, q[row]
+    row, at = _split(x, n, np.minimum(last - first + 1, n))
+    k = first[row] + at
+    if (one := (last - first >= n)[row]).any():  # more rounds than ids: the rounds of each id
+        low, high = s.rounds_of(q[row[one]], x[row[one]] + at[one], np.ones(int(one.sum()), np.int64))
+        of, more = _split(low, low, high - low + 1)
+        row, k = np.unique(np.stack([np.concatenate([row[~one], row[one][of]]), np.concatenate([k[~one], low[of] + more])], axis=1), axis=0).T
+    q = q[row]
     turn, turn_end, place = s.turns(k, q)
     begin, end = np.maximum(x[row], turn), np.minimum((x + n)[row], turn_end)
     g = place + begin - turn
