@@ -5,12 +5,12 @@ part of it from a line feed on. No piece of the vocabulary reaches over such a
 border, so a text has as many tokens as its pre-tokens have together.
 
 Tier one is a compact hash table (64-bit hash -> count) of the pre-tokens that
-are frequent in the whole corpus. Each task sends the heavy hitters of what it
-read, ``SUMMARY`` entries at most; the ``FREQUENT`` most frequent ones are
-encoded once on the driver and broadcast: at most 9 bytes an entry, whatever the
-size of the corpus. Tier two is a cache in each Python worker for the misses.
-Pre-tokens themselves are never shuffled. Both tiers only save work: what they
-don't hold is encoded by the library.
+are frequent in the whole corpus. Each task encodes the heavy hitters of what it
+read, ``SUMMARY`` of them at most, and sends their hashes, token counts and
+frequencies; the ``FREQUENT`` most frequent hashes are broadcast: at most 9 bytes an
+entry, whatever the size of the corpus. Tier two is a cache in each Python worker for
+the misses. Pre-tokens themselves never leave a task. Both tiers only save work: what
+they don't hold is encoded by the library.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; rows
 are independent, so repeated rows and null ids come back as they are; other
@@ -31,6 +31,8 @@ from . import common as C
 
 #: Entries of the broadcast table, entries each task sends for it.
 FREQUENT, SUMMARY = 65_536, 4_096
+#: Bytes of text after which a task forgets the long keys it has counted.
+FORGET = 32_000_000
 GLUE = b"\xff\n"  # a line feed that no blank stands before; 0xff isn't in UTF-8
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -99,38 +101,42 @@ def worker_cache(path: str, key: str, shared) -> Lengths:
     return C.held(("lengths", key), lambda: Lengths(path, shared.value["hashes"], shared.value["counts"]))
 
 
-def frequent_pretokens(docs: DataFrame, text: str = "text", summary: int = SUMMARY, keep: int = FREQUENT) -> list[bytes]:
-    """The most frequent pre-tokens of the corpus, from every task's heavy hitters."""
+def frequent_lengths(docs: DataFrame, model_path: str, text: str = "text", summary: int = SUMMARY, keep: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and token counts of the most frequent pre-tokens, from every task's heavy hitters."""
 
     def heavy(batches):
+        import xxhash
+
         seen: Counter = Counter()
+        size = 0
         for _, texts in C.blocks(batches, text):
             for t in texts:
                 seen.update(pretokens(t or b""))
+                size += len(t or b"")
+            if size > FORGET:
+                seen, size = Counter({k: n for k, n in seen.items() if len(k) <= C.LONGEST_KEY}), 0
             if len(seen) > 40 * summary:  # keep the hitters, forget the tail
                 seen = Counter(dict(seen.most_common(8 * summary)))
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:summary]
-        yield C.out_batch({"key": pa.binary(), "n": pa.int64()}, key=[k for k, _ in top], n=[n for _, n in top])
+        top = sorted((x for x in seen.items() if len(x[0]) <= C.LONGEST_KEY), key=lambda x: (-x[1], x[0]))[:summary]
+        length = key_length(model_path)
+        h = np.array([xxhash.xxh64_intdigest(k) for k, _ in top], np.uint64).view(np.int64)
+        yield C.out_batch({"h": pa.int64(), "length": pa.int64(), "n": pa.int64()}, h=h, length=[length(k) for k, _ in top], n=[n for _, n in top])
 
-    hitters = C.map_arrow(docs.select(text), heavy, "key binary, n long")
-    rows = hitters.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(keep).collect()
-    return [bytes(r.key) for r in rows]
+    hitters = C.map_arrow(docs.select(text), heavy, "h long, length long, n long")
+    every = hitters.groupBy("h").agg(F.sum("n").alias("n"), F.min("length").alias("length"), F.max("length").alias("most"))
+    table = every.where("length = most and most <= 255").orderBy(F.desc("n"), "h").limit(keep).select("h", "length").toArrow()  # FREQUENT rows of two numbers
+    h, length = table.column("h").to_numpy().view(np.uint64), table.column("length").to_numpy().astype(np.uint8)
+    order = np.argsort(h)
+    return h[order], length[order]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text", limit: int = 4096, keep: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit."""
     import uuid
 
-    import xxhash
-
     name = uuid.uuid4().hex
-    length = key_length(model_path)
-    table: dict[int, int] = {}
-    for k in frequent_pretokens(docs, text, keep=keep):
-        h = xxhash.xxh64_intdigest(k)
-        table[h] = -1 if h in table else min(length(k), 255)
-    pairs = sorted((h, n) for h, n in table.items() if 0 <= n < 255)
-    shared = docs.sparkSession.sparkContext.broadcast({"hashes": np.array([h for h, _ in pairs], np.uint64), "counts": np.array([n for _, n in pairs], np.uint8)})
+    hashes, counts = frequent_lengths(docs, model_path, text, keep=keep)
+    shared = docs.sparkSession.sparkContext.broadcast({"hashes": hashes, "counts": counts})
 
     def count(batches):
         for part, texts in C.blocks(batches, text):
