@@ -7,6 +7,7 @@ lineage with a table in the folder that the session names.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -104,12 +105,30 @@ def tidied():
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow, with batches of BATCH_ROWS rows at most: texts may be long, and a batch is held in the executor and the worker."""
+    """mapInArrow, with batches of BATCH_ROWS rows at most: texts may be long, and a batch is held in the executor and the worker.
+
+    Workers serve many tasks and stages; each gives its free memory back when a task ends."""
     spark = df.sparkSession
     importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES):
