@@ -1,6 +1,7 @@
 """Token counts, token files, packing, license scans and quality rules against plain versions."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,6 +62,17 @@ def test_token_counts(request, which):
         assert ordered(token_counts.count_tokens(docs, PIECES, keep=keep).collect()) == ordered(want)
 
 
+def test_frequent_lengths_are_the_library_s(real):
+    import xxhash
+
+    hashes, counts = token_counts.frequent_lengths(real, PIECES, keep=500)
+    assert 100 < len(hashes) <= 500 and (np.diff(hashes.astype(object)) > 0).all()
+    length, table = token_counts.key_length(PIECES), dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+    keys = {k for _, t in pairs(real) for k in token_counts.pretokens((t or "").encode())}
+    met = [k for k in keys if xxhash.xxh64_intdigest(k) in table]
+    assert len(met) == len(table) and all(table[xxhash.xxh64_intdigest(k)] == length(k) for k in met)
+
+
 @pytest.mark.parametrize("which", ["hard", "real", "none"])
 def test_token_files(request, spark, tmp_path, plain_ids, which):
     docs, path = request.getfixturevalue(which), str(tmp_path / "files")
@@ -170,6 +182,18 @@ def test_packing_keeps_every_source(spark, targets):
     assert (abs(held[["big", "other"]] - (1_024 if targets is None else 2_048)) <= 2).all(axis=None)
 
 
+def test_packing_of_a_rare_source_takes_its_ids_not_the_rounds():
+    s = packing.Schedule(["common", "rare"], [10**13, 30_000])
+    p = packing.pieces(s, np.array([1]), np.array([0]), np.array([30_000]))  # this document spans all rounds
+    assert len(p["length"]) <= 30_000 and p["length"].sum() == 30_000
+    assert (p["begin"] == np.cumsum(p["length"]) - p["length"]).all() and (np.diff(p["sequence_id"]) > 0).all()
+    s = packing.Schedule(["common", "rare"], [400_000, 60])  # all pieces together fill the sequences without a gap
+    cut = [packing.pieces(s, np.full(len(x), q), x, n) for q, x, n in ((0, np.arange(0, 400_000, 1_000), np.full(400, 1_000)), (1, np.array([0, 50]), np.array([50, 10])))]
+    at = np.sort(np.concatenate([c["sequence_id"] * 10_000 + c["offset"] for c in cut]))
+    length = np.concatenate([c["length"] for c in cut])[np.argsort(np.concatenate([c["sequence_id"] * 10_000 + c["offset"] for c in cut]))]
+    assert length.sum() == 400_060 and (at % 10_000 == np.where(np.diff(at // 10_000, prepend=-1) > 0, 0, np.roll(at % 10_000 + length, 1))).all()
+
+
 @pytest.mark.parametrize("which", ["hard", "real", "none"])
 def test_license_base(request, which):
     docs = request.getfixturevalue(which)
@@ -179,6 +203,26 @@ def test_license_base(request, which):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_license_places_of_long_texts():
+    """As counted one by one on short texts; in time that grows with the text on long ones."""
+    rng = random.Random(7)
+    for _ in range(200):
+        text = b" ".join(rng.choice([b"cc", b"by", b"all", b"rights", b"reserved", b"x"]) for _ in range(rng.randrange(60)))
+        w = text.split()
+        want = sorted((k, label) for phrase, label in license_scan.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split())
+        assert license_scan.base_places(text) == want
+        spans = [(a, a + rng.randrange(1, 9), rng.choice("ab"), rng.randrange(3)) for a in (rng.randrange(80) for _ in range(rng.randrange(40)))]
+        kept = []
+        for s in sorted(set(spans), key=lambda s: (s[3], s[0], s[1], s[2])):
+            if not any(s[2] == o[2] and s[0] < o[1] and o[0] < s[1] for o in kept):
+                kept.append(s)
+        assert license_scan._best(spans) == sorted(kept)
+    began = time.perf_counter()
+    assert len(license_scan.base_places(b"cc by " * 300_000)) == 299_999 + 1
+    assert len(license_scan._best([(k, k + 1, "a", 0) for k in range(100_000)])) == 100_000
+    assert time.perf_counter() - began < 30
+
+
 def test_fuzzy_search_misses_no_notice():
     rng = random.Random(2)
     texts, notices = [], license_scan.NOTICES
