@@ -101,14 +101,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (items with a window whose rarest terms stand within ``slop`` of their distance), items, spans, ``carry``."""
     with C.tidied() as keep:
         names = keyed(docs, id_col, text)
-        windows = C.stored(benchmark_windows(benchmark, item_col, item_text, window).withColumn("window_id", F.xxhash64(F.concat_ws(" ", "terms"))))
+        windows = C.stored(benchmark_windows(benchmark, item_col, item_text, window).withColumn("window_id", F.monotonically_increasing_id()))  # written once
         n_windows = windows.count()
         terms = windows.select(F.explode("terms").alias("term")).distinct()
         n_terms = terms.count()
         counts = C.stored(term_counts(names, terms, n_terms))
         rare = C.stored(rarest_terms(windows, counts, n_terms))
         seeds = rare.select(F.col("t1").alias("term")).union(rare.where("t2 is not null").select("t2")).distinct()
-        index = C.stored(postings(names, seeds, n_terms))
+        index = C.stored(postings(names, seeds, n_terms).distinct())  # rows that repeat id and text have one list
         found = candidates(index, rare, n_windows, slop).join(bounded(windows, n_windows), "window_id")
         exact = F.when((F.col("gap") == 0) & (F.col("start") >= 0), F.struct("start", "terms", "items"))
         by_doc = keep(C.stored(found.groupBy("k1", "k2").agg(F.collect_set(exact).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("near"))))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logtide.llm import decontamination, jaccard_join, registry
 from tests.conftest import rows_of
@@ -53,6 +54,18 @@ def test_decontamination_of_real_and_of_nothing(spark, sf, real, none, bench):
     assert not decontamination.contamination(real, bench.limit(0)).where("n_hit > 0").count()
 
 
+def test_decontamination_of_repeated_rows(spark, planted, bench):
+    """Rows that repeat id and text share one list of postings: no more candidates, the same answers."""
+    hit = decontamination.contamination(planted, bench).where("n_hit > 0").select("doc_id").distinct()
+    some = planted.join(hit, "doc_id", "left_semi").select("doc_id", "text")
+    many = some.crossJoin(spark.range(40).withColumnRenamed("id", "k")).drop("k")
+    index = decontamination.postings(decontamination.keyed(many, "doc_id", "text"), some.limit(1).select(F.explode(decontamination.words_of(F.col("text"))).alias("term")).distinct(), 10).distinct()
+    assert index.count() == decontamination.postings(decontamination.keyed(some.distinct(), "doc_id", "text"), index.select("term").distinct(), 10).count()
+    once = {tuple(r) for r in decontamination.contamination(some, bench).select(*CONTRACT).collect()}
+    got = decontamination.contamination(many, bench).select(*CONTRACT)
+    assert {tuple(r) for r in got.collect()} == once and got.count() == 40 * some.count()
+
+
 def test_decontamination_stays_native(spark, sf, real):
     plan = decontamination.contamination(real, spark.read.parquet(f"{sf}/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "ExternalRDD"))
