@@ -29,11 +29,14 @@ def importable(spark: SparkSession) -> None:
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes the rows to the folder in spark.checkpoint.dir and reads them back: what is
-    parsed once is used often, and a lost executor costs only its tasks."""
+    parsed once is used often, and a lost executor costs only its tasks. Where that is unset, a
+    local session takes a temporary folder; on a cluster it is an error."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(stored, "fallback", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = stored.fallback = tempfile.mkdtemp(prefix="scratch-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = stored.fallback = getattr(stored, "fallback", None) or tempfile.mkdtemp(prefix="scratch-")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

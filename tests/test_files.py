@@ -181,3 +181,13 @@ def test_patterns():
     assert spark_pattern("date=%Y-%m-%d") == "'d''a''t''e'=yyyy-MM-dd".replace("''", "")
     with pytest.raises(ValueError):
         spark_pattern("%Q")
+
+
+def test_stored_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from logtide.session import stored
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stored(SimpleNamespace(sparkSession=spark))
