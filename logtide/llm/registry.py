@@ -10,6 +10,7 @@ from .license_scan import op5_license_scan
 from .packing import op6_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op8_quality_rules
+from .spelling_variants import op11_spelling_variants
 from .token_counts import op2_token_counts
 from .token_files import op3_token_files
 from .toxicity import op4_toxicity
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 

