@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from . import oracles
 from .decontamination import op7_decontamination
+from .fill_in_middle import op13_fill_in_middle
 from .jaccard_join import op9_jaccard_join
 from .language_id import op10_language_id
 from .license_scan import op5_license_scan
+from .mixing import op12_source_mixing
 from .packing import op6_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op8_quality_rules
@@ -29,9 +31,11 @@ def queries() -> dict:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_source_mixing": op12_source_mixing,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries train a model, read files back or hold a method's own verdict; tests/llm has their plain versions."""
-    return {"op7_decontamination": oracles.DECONTAMINATION, "op9_jaccard_join": oracles.JACCARD_JOIN}
+    return {"op7_decontamination": oracles.DECONTAMINATION, "op9_jaccard_join": oracles.JACCARD_JOIN, "op12_source_mixing": oracles.SOURCE_MIXING, "op13_fill_in_middle": oracles.FILL_IN_MIDDLE}

@@ -183,3 +183,37 @@ def spelling_groups(docs):
         return w
 
     return [(w, form[w], root(w), n[w], len(near[w]), None if form[w] is None else n[form[w]]) for w in n]
+
+
+def filled(docs, seed=1):
+    """[(doc_id, n, form, prefix_chars, middle_chars, output)]"""
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+        digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        x, y, z = ("".join(part) for part in (units[:a], units[a:b], units[b:]))
+        if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            out.append((doc_id, len(units), "plain", None, None, text))
+        elif h[3] % 100 < 20:
+            out.append((doc_id, len(units), "spm", len(x), len(y), f"<S>{z}<P>{x}<M>{y}"))
+        else:
+            out.append((doc_id, len(units), "psm", len(x), len(y), f"<P>{x}<S>{z}<M>{y}"))
+    return out
+
+
+def mix_targets(sizes):
+    """{source: target}, by sharing the excess again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    full, rest = set(), sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        left = rest - sum(3 * sizes[s] for s in full)
+        share = {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not above:
+            return share | {s: 3.0 * sizes[s] for s in full}
+        full |= above
