@@ -53,8 +53,8 @@ def shingles(text, width=5):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def linked(docs, percent=80):
-    """[(doc_id, n_shingles, component_id)], rows told apart by position."""
+def roots(docs, percent=80):
+    """The number of the first row that each row is linked to, through others too."""
     sets = [shingles(t) for _, t in docs]
     up = list(range(len(docs)))
 
@@ -70,13 +70,18 @@ def linked(docs, percent=80):
             and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b]))
             and 100 * (both := len(sets[a] & sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - both)
         ):
-            up[find(a)] = find(b)
-    low = {}
-    for k, (doc_id, _) in enumerate(docs):
-        r = find(k)
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    return [find(k) for k in range(len(docs))]
+
+
+def linked(docs, percent=80):
+    """[(doc_id, n_shingles, component_id)], rows told apart by position."""
+    low, of = {}, roots(docs, percent)
+    for r, (doc_id, _) in zip(of, docs, strict=True):
         if doc_id is not None:
             low[r] = min(doc_id, low.get(r, doc_id))
-    return [(doc_id, len(sets[k]), low.get(find(k))) for k, (doc_id, _) in enumerate(docs)]
+    return [(doc_id, len(shingles(t)), low.get(r)) for r, (doc_id, t) in zip(of, docs, strict=True)]
 
 
 def quality_counts(text):

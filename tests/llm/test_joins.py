@@ -185,9 +185,9 @@ def test_jaccard_of_real_and_of_nothing(real, none):
 
 def test_one_of_each_component_stays(near):
     kept, rows = pairs(jaccard_join.one_of_each(near)), pairs(near)
-    groups = {}
-    for (i, t), (_, n, c) in zip(rows, brute.linked(rows), strict=True):
-        groups.setdefault(c if n else ("blank", i, t, len(groups)), []).append((i, t))
+    groups, roots = {}, brute.roots(rows)
+    for k, ((i, t), (_, n, _)) in enumerate(zip(rows, brute.linked(rows), strict=True)):
+        groups.setdefault(roots[k] if n else ("blank", k), []).append((i, t))
     assert len(kept) == len(groups)
     assert all(k in rows for k in kept)
     lowest = {min(i for i, _ in g if i is not None) for g in groups.values() if any(i is not None for i, _ in g)}
