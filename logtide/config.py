@@ -66,7 +66,7 @@ class Settings:
     quick: bool = False
     multipart: bool = False
     #: Blocks a group's records are cut into, so that no task holds a whole group.
-    blocks: int = 64
+    block: int = 1_000_000
 
 
 def builtin_formats() -> tuple[TimestampFormat, ...]:

@@ -35,8 +35,9 @@ def thousands(n: Column) -> Column:
 
 
 def z_score(gap_ms: Column, mean: Column, std: Column) -> Column:
-    """Standard deviations above the mean; null where the deviation is 0."""
-    return F.try_divide(gap_ms.cast("double") - mean, std)
+    """Standard deviations above the mean; where the deviation is 0, without end, or not a number for the mean itself."""
+    off = gap_ms.cast("double") - mean
+    return F.when(std == 0, F.when(off == 0, F.lit(float("nan"))).otherwise(F.signum(off) * float("inf"))).otherwise(F.try_divide(off, std))
 
 
 def file_stem(name: Column) -> Column:

@@ -69,20 +69,3 @@ def merged(parts: DataFrame, name: str, position: str | None = None) -> DataFram
     one = sums.crossJoin(F.broadcast(moments)).crossJoin(F.broadcast(n_over))  # one row each
     return one.select("name", "n_records", "n_ts", "n_dupes", "n_redactions", "min_ts", "max_ts", "n_gaps", "gap_mean_ms", "gap_var_ms", F.col("ltg.gap").alias("ltg_us"), F.col("ltg.begin").alias("ltg_begin"), F.col("ltg.end").alias("ltg_end"), "n_overlaps")
 
-
-def combined_mean(n1: float, m1: float, n2: float, m2: float) -> float | None:
-    return (n1 * m1 + n2 * m2) / (n1 + n2) if n1 + n2 else None
-
-
-def combined_moments(n1: int, m1: float, v1: float, n2: int, m2: float, v2: float) -> tuple[int, float, float]:
-    """Pooled count, mean and population variance of two sets."""
-    n = n1 + n2
-    if not n:
-        return 0, 0.0, 0.0
-    m = combined_mean(n1, m1, n2, m2)
-    return n, m, (n1 * (v1 + (m1 - m) ** 2) + n2 * (v2 + (m2 - m) ** 2)) / n
-
-
-def with_value(n: int, m: float, v: float, x: float) -> tuple[int, float, float]:
-    """The moments of a set with one value more."""
-    return combined_moments(n, m, v, 1, x, 0.0)

@@ -73,7 +73,7 @@ def analyze(spark: SparkSession, s: Settings) -> Run:
     bound = records.join(bindings.select("file_path", "format"), "file_path", "left")
     broken = stored(bound.where("matched and ts is null").groupBy("file_path").agg(F.min("idx").alias("broken_at")))
     fine = records.join(broken, "file_path", "left_anti")
-    p = stored(profile.time_profile(fine, ["file_path"], "idx", "ts", s.blocks))
+    p = stored(profile.time_profile(fine, ["file_path"], "idx", "ts", s.block))
     stats = files.join(p, "file_path", "left").join(broken, "file_path", "left").join(bindings, "file_path", "left").join(headers, "file_path", "left")
     counts = {c: F.lit(None).cast("bigint") for c in ("n_dupes", "n_redactions")}
     if s.quick:

@@ -32,7 +32,7 @@ def _profile(source: str, key: str, order: str, ts: str) -> str:
 def _profile_query(key: str) -> str:
     return f"""WITH {_profile("events", key, "event_id", "ts")}
     SELECT g AS {key}, n_records, n_ts, min_ts, max_ts, n_gaps, ltg_us, ltg_begin, ltg_end, round(mean, 3) AS gap_mean_ms, round(sqrt(var), 3) AS gap_std_ms,
-      round(CASE WHEN var > 0 THEN (ltg_us // 1000 - mean) / sqrt(var) END, 3) AS ltg_z FROM p"""
+      round(CASE WHEN var > 0 THEN (ltg_us // 1000 - mean) / sqrt(var) WHEN var = 0 THEN 'NaN'::DOUBLE END, 3) AS ltg_z FROM p"""
 
 
 def _hours(us: str) -> str:
@@ -59,9 +59,10 @@ def _level(value: str, kind: str) -> str:
     return f"CASE WHEN {value} > {h} THEN 'High' WHEN {value} > {m} THEN 'Medium' WHEN {value} > {low} THEN 'Low' END"
 
 
+_DUPES = "d AS (SELECT event_type AS g, CAST(sum(n) - count(*) AS BIGINT) AS dupes FROM (SELECT * EXCLUDE (event_id), count(*) AS n FROM events GROUP BY ALL) GROUP BY 1)"
 _hundred = ALERT_THRESHOLDS["SusEventCount"]
 _ALERTS = f"""WITH {_profile("events", "event_type", "event_id", "ts")},
-    d AS (SELECT event_type AS g, count(*) - count(DISTINCT user_id) - (count(*) FILTER (WHERE user_id IS NULL) > 0)::int AS dupes FROM events GROUP BY 1),
+    {_DUPES},
     r AS (SELECT event_type AS g, sum({_hits("props")}) AS red FROM events GROUP BY 1),
     s AS (SELECT p.g, n_ts, dupes, red, CASE WHEN var = 0 THEN CASE WHEN ltg_us // 1000 > mean THEN 4611686018427387904 ELSE 0 END ELSE greatest(floor((ltg_us // 1000 - mean) / nullif(sqrt(var), 0)), 0) END AS score FROM p JOIN d USING (g) JOIN r USING (g)),
     a AS (SELECT g, 'SusEventCount' AS kind, CASE WHEN n_ts > 0 AND n_ts % {_hundred[0]} = 0 THEN 'High' WHEN n_ts > 0 AND n_ts % {_hundred[1]} = 0 THEN 'Medium' WHEN n_ts > 0 AND n_ts % {_hundred[2]} = 0 THEN 'Low' END AS level FROM s
@@ -118,7 +119,7 @@ SQL = {
         SELECT g AS event_type, {_text("ltg_begin")} || ' to ' || {_text("ltg_end")} AS ltg, {_hours("ltg_us")} AS ltg_hours FROM p""",
     "dup_counts_by_source": "SELECT source, count(*) AS n_records, count(*) - count(DISTINCT text) - (count(*) FILTER (WHERE text IS NULL) > 0)::int AS n_dupes FROM documents GROUP BY 1",
     "dup_listing": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r FROM documents) WHERE r > 1",
-    "distinct_rows": "SELECT c_mktsegment, count(*) AS n_records, count(*) - count(DISTINCT c_nationkey) AS n_dupes FROM customer GROUP BY 1",
+    "distinct_rows": "SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_records, CAST(sum(n) - count(*) AS BIGINT) AS n_dupes FROM (SELECT * EXCLUDE (c_custkey), count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1",
     "redaction_counts": f"SELECT source, count(*) AS n_records, sum({_hits('text')})::bigint AS n_redactions FROM documents GROUP BY 1",
     "redaction_listing": f"SELECT doc_id, r.name AS rule_name FROM documents, (VALUES {_RULES}) r(name, pattern) WHERE regexp_matches(text, r.pattern)",
     "redaction_by_rule": f"""SELECT log, r.name AS rule_name, count(*) AS n_hits FROM (SELECT 'documents' AS log, text AS t FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations),
@@ -129,7 +130,7 @@ SQL = {
     "alert_rollup": f"{_ALERTS} SELECT level, kind, count(*) AS n_alerts FROM a WHERE level IS NOT NULL GROUP BY 1, 2",
     "multipart_merge": f"""
         WITH e AS ({_PARTS}), {_profile("e", "part", "event_id", "ts")},
-        d AS (SELECT part AS g, sum(n - 1) AS dupes FROM (SELECT part, user_id, event_type, count(*) AS n FROM e GROUP BY ALL) GROUP BY 1),
+        d AS (SELECT part AS g, sum(n - 1) AS dupes FROM (SELECT * EXCLUDE (event_id), count(*) AS n FROM e GROUP BY ALL) GROUP BY 1),
         r AS (SELECT part AS g, sum({_hits("props")}) AS red FROM e GROUP BY 1),
         o AS (SELECT *, max(max_ts) OVER (ORDER BY min_ts, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm, row_number() OVER (ORDER BY min_ts, g) AS k FROM p WHERE n_ts > 0),
         x AS (SELECT (greatest(n_ts - 1, 0))::double AS n, coalesce(mean, 0) AS m, coalesce(var, 0) AS v, ltg_us AS us, ltg_begin AS b, ltg_end AS f, k * 2 AS pos FROM o
@@ -153,9 +154,11 @@ SQL = {
     "duration_format": f"""WITH {_profile("events", "user_id", "event_id", "ts")}
         SELECT g AS user_id, {_hours("date_diff('microsecond', min_ts, max_ts)")} AS duration_hours, {_human("date_diff('microsecond', min_ts, max_ts)")} AS duration_text, {_thousands("n_records")} AS records_text FROM p""",
     "stats_report_row": f"""WITH {_profile("events", "event_type", "event_id", "ts")},
-        d AS (SELECT event_type AS g, count(*) - count(DISTINCT user_id) AS dupes FROM events GROUP BY 1), r AS (SELECT event_type AS g, sum({_hits("props")})::bigint AS red FROM events GROUP BY 1)
+        {_DUPES}, r AS (SELECT event_type AS g, sum({_hits("props")})::bigint AS red FROM events GROUP BY 1)
         SELECT g AS event_type, {_thousands("n_records")} AS total_records, {_thousands("n_ts")} AS timed_records, {_text("min_ts")} AS min_ts, {_text("max_ts")} AS max_ts, {_hours("date_diff('microsecond', min_ts, max_ts)")} AS duration_hours,
-          {_text("ltg_begin")} || ' to ' || {_text("ltg_end")} AS ltg, {_hours("ltg_us")} AS ltg_hours, {_thousands("dupes")} AS dupes, {_thousands("red")} AS redactions FROM p JOIN d USING (g) JOIN r USING (g)""",
+          {_text("ltg_begin")} || ' to ' || {_text("ltg_end")} AS ltg, {_hours("ltg_us")} AS ltg_hours, {_human("date_diff('microsecond', min_ts, max_ts)")} AS duration_text, {_human("ltg_us")} AS ltg_text,
+          format('{{:,.3f}}', mean) AS gap_mean_ms, format('{{:,.3f}}', sqrt(var)) AS gap_std_ms, format('{{:,.3f}}', CASE WHEN var > 0 THEN (ltg_us // 1000 - mean) / sqrt(var) WHEN var = 0 THEN 'NaN'::DOUBLE END) AS ltg_z,
+          CASE WHEN violation IS NULL THEN '' ELSE 'Record ' || violation || ' is out of order; time analysis stopped' END AS error, {_thousands("dupes")} AS dupes, {_thousands("red")} AS redactions FROM p JOIN d USING (g) JOIN r USING (g)""",
     "run_summary": f"""WITH logs AS (SELECT 'e' || user_id AS log, event_id AS i, ts AS t FROM events UNION ALL SELECT 'o' || o_custkey, o_orderkey, o_orderdate FROM orders), {_profile("logs", "log", "i", "t")}
         SELECT sum(n_ts)::bigint AS timed_records, count(min_ts) AS analysed, count(*) - count(min_ts) AS not_analysed FROM p""",
     "null_timestamps": f"""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 7 <> 3 THEN ts END AS ts FROM events), {_profile("e", "event_type", "event_id", "ts")},

@@ -39,6 +39,11 @@ def _profile(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def but_key(df: DataFrame, *keys: str) -> list[str]:
+    """The fields of a record: all but its number."""
+    return [c for c in df.columns if c not in keys]
+
+
 def time_profile_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(profile.time_profile(events(spark, sf_dir), ["event_type"], "event_id"), "event_type")
 
@@ -81,7 +86,7 @@ def dup_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a table whose fields, all but the key, repeat."""
     c = read(spark, sf_dir, "customer")
-    return duplicates.duplicate_counts(c, ["c_mktsegment"], ["c_nationkey"])
+    return duplicates.duplicate_counts(c, ["c_mktsegment"], but_key(c, "c_custkey", "c_mktsegment"))
 
 
 def record_hash_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +121,10 @@ def redaction_rules_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type, with the duplicates and redactions of their type and value."""
+    """Events by type, with the records that repeat in all fields but the number, and redactions."""
     e = events(spark, sf_dir)
     p = profile.time_profile(e, ["event_type"], "event_id")
-    d = duplicates.duplicate_counts(e, ["event_type"], ["user_id"]).select("event_type", "n_dupes")
+    d = duplicates.duplicate_counts(e, ["event_type"], but_key(e, "event_id", "event_type")).select("event_type", "n_dupes")
     r = redactions.redaction_counts(e, ["event_type"], ["props"]).select("event_type", "n_redactions")
     stats = p.join(d, "event_type").join(r, "event_type").withColumns({"ltg_ms": F.expr("ltg_us div 1000"), "gap_std_ms": F.sqrt("gap_var_ms")})
     return alerts.with_alerts(stats)
@@ -136,7 +141,7 @@ def alert_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parts(spark: SparkSession, sf_dir: str, part) -> DataFrame:
     e = events(spark, sf_dir).withColumn("part", part)
     p = profile.time_profile(e, ["part"], "event_id")
-    d = duplicates.duplicate_counts(e, ["part"], ["user_id", "event_type"]).select("part", "n_dupes")
+    d = duplicates.duplicate_counts(e, ["part"], but_key(e, "event_id", "part")).select("part", "n_dupes")
     r = redactions.redaction_counts(e, ["part"], ["props"]).select("part", "n_redactions")
     return p.join(d, "part").join(r, "part")
 
@@ -214,13 +219,10 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The figures of the statistics report, for the events of each type."""
-    e = events(spark, sf_dir)
-    p = profile.time_profile(e, ["event_type"], "event_id")
-    d = duplicates.duplicate_counts(e, ["event_type"], ["user_id"]).select("event_type", "n_dupes")
-    r = redactions.redaction_counts(e, ["event_type"], ["props"]).select("event_type", "n_redactions")
-    s = p.join(d, "event_type").join(r, "event_type")
+    """The statistics report's columns that a table has too (no file, hash, header), for the events of each type."""
+    s = _with_alerts(spark, sf_dir)
     span = durations.micros_between(F.col("min_ts"), F.col("max_ts"))
+    number = lambda c: F.format_number(c, 3)
     return s.select(
         "event_type",
         durations.thousands(F.col("n_records")).alias("total_records"),
@@ -230,6 +232,12 @@ def stats_report_row(spark: SparkSession, sf_dir: str) -> DataFrame:
         durations.hours(span).alias("duration_hours"),
         F.concat(durations.seconds_text(F.col("ltg_begin")), F.lit(" to "), durations.seconds_text(F.col("ltg_end"))).alias("ltg"),
         durations.hours(F.col("ltg_us")).alias("ltg_hours"),
+        durations.human(span).alias("duration_text"),
+        durations.human(F.col("ltg_us")).alias("ltg_text"),
+        number(F.col("gap_mean_ms")).alias("gap_mean_ms"),
+        number(F.col("gap_std_ms")).alias("gap_std_ms"),
+        number(durations.z_score(F.col("ltg_ms"), F.col("gap_mean_ms"), F.col("gap_std_ms"))).alias("ltg_z"),
+        F.when(F.col("violation").isNotNull(), F.format_string("Record %d is out of order; time analysis stopped", "violation")).otherwise("").alias("error"),
         durations.thousands(F.col("n_dupes")).alias("dupes"),
         durations.thousands(F.col("n_redactions")).alias("redactions"),
     )

@@ -12,13 +12,13 @@ from logtide.functions.timestamps import spark_pattern
 from logtide.plans import analyze, sinks
 from logtide.sources import records as R
 
-BASIC = "id,name,date\n1,John,2025-05-09 10:00:00\n2,Jane,2025-05-10 11:00:00\n3,Jo,2025-06-01 13:00:00\n"
+BASIC = "id,name,date\n1,alpha,2024-02-28 22:15:00\n2,beta,2024-02-29 06:45:30\n3,core,2024-03-04 22:15:00\n"
 
 
 def run(spark, tmp_path, files, **settings):
     for name, text in files.items():
         (tmp_path / name).write_text(text)
-    return analyze.analyze(spark, Settings(str(tmp_path), blocks=4, **settings))
+    return analyze.analyze(spark, Settings(str(tmp_path), block=4, **settings))
 
 
 def one(spark, tmp_path, name, text, **settings):
@@ -29,19 +29,19 @@ def one(spark, tmp_path, name, text, **settings):
 def test_csv(spark, tmp_path):
     s, r = one(spark, tmp_path, "a.csv", BASIC)
     assert (s.n_records, s.n_ts, s.column, s.first_data_row, s.n_errors) == (3, 3, "date", 1, 0)
-    assert (s.min_ts, s.max_ts) == (dt.datetime(2025, 5, 9, 10), dt.datetime(2025, 6, 1, 13))
+    assert (s.min_ts, s.max_ts) == (dt.datetime(2024, 2, 28, 22, 15), dt.datetime(2024, 3, 4, 22, 15))
     assert s.sha256 == hashlib.sha256(BASIC.encode()).hexdigest()
     row = analyze.report(r).first()
-    assert row["Duration of Entire Log File (Hours)"] == "555:00:00" and row["Error"] == "" and len(row) == 22
+    assert row["Duration of Entire Log File (Hours)"] == "120:00:00" and row["Error"] == "" and len(row) == 22
 
 
 def test_csv_junk_above_the_header(spark, tmp_path):
     s, _ = one(spark, tmp_path, "a.csv", "garbage\n" + BASIC)
-    assert (s.first_data_row, s.n_records, s.n_errors, s.min_ts) == (2, 3, 0, dt.datetime(2025, 5, 9, 10))
+    assert (s.first_data_row, s.n_records, s.n_errors, s.min_ts) == (2, 3, 0, dt.datetime(2024, 2, 28, 22, 15))
 
 
 def test_csv_duplicates_and_redactions(spark, tmp_path):
-    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("3,Jo", "2,Jane,2025-05-10 11:00:00\n3,J*********s"))
+    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("3,core", "2,beta,2024-02-29 06:45:30\n3,c******e"))
     assert (s.n_dupes, s.n_redactions, s.n_errors) == (1, 1, 0)
     assert [(x.stem, x["Index of Hit"]) for x in sinks.duplicate_details(r).collect()] == [("a", 2)]
     assert [(x["Index of Hit"], x["Rule Name"]) for x in sinks.redaction_details(r).collect()] == [(3, "Asterisks")]
@@ -53,12 +53,12 @@ def test_quick_leaves_nulls(spark, tmp_path):
 
 
 def test_csv_times_that_do_not_match(spark, tmp_path):
-    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("2,Jane,2025-05-10 11:00:00", "2,Jane,soon\n2,Jan,later"))
-    assert (s.n_errors, s.n_ts, s.max_ts) == (2, 2, dt.datetime(2025, 6, 1, 13))
+    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("2,beta,2024-02-29 06:45:30", "2,beta,soon\n2,bet,later"))
+    assert (s.n_errors, s.n_ts, s.max_ts) == (2, 2, dt.datetime(2024, 3, 4, 22, 15))
 
 
 def test_csv_time_that_can_not_be_parsed_ends_the_file(spark, tmp_path):
-    s, r = one(spark, tmp_path, "a.csv", BASIC + "4,Al,2025-13-01 00:00:00\n")
+    s, r = one(spark, tmp_path, "a.csv", BASIC + "4,dust,2025-13-01 00:00:00\n")
     assert (s.n_records, s.n_ts, s.n_dupes, s.min_ts, s.n_errors) == (0, 0, None, None, 1)
     assert r.errors.first().level == "Critical"
 
@@ -83,7 +83,7 @@ def test_csv_quoted_line_break_and_named_field(spark, tmp_path):
 
 
 def test_csv_blank_lines_are_no_records(spark, tmp_path):
-    s, _ = one(spark, tmp_path, "a.csv", BASIC.replace("2,Jane", "\n2,Jane") + "\n\n")
+    s, _ = one(spark, tmp_path, "a.csv", BASIC.replace("2,beta", "\n2,beta") + "\n\n")
     assert (s.n_records, s.n_errors) == (3, 0)
 
 
@@ -135,11 +135,11 @@ def test_line_numbers_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-LATER = "id,name,date\n7,Ann,2025-05-20 09:00:00\n8,Ben,2025-05-28 10:00:00\n9,Cy,2025-07-02 11:30:00\n"
+LATER = "id,name,date\n7,delta,2024-03-02 09:00:00\n8,echo,2024-03-03 10:00:00\n9,fox,2024-04-02 11:30:00\n"
 
 
 def test_multipart(spark, tmp_path):
-    r = run(spark, tmp_path, {"a.csv": BASIC, "b.csv": BASIC.replace("2025-0", "2026-0"), "c.csv": LATER})
+    r = run(spark, tmp_path, {"a.csv": BASIC, "b.csv": BASIC.replace("2024-0", "2028-0"), "c.csv": LATER})
     m = analyze.merged(r).first()
     assert (m.n_ts, m.n_overlaps, m.name) == (9, 1, "3_SUCCESSFUL_INPUT_FILES_COMBINED")
     assert ("MultipartOverlap", "Medium") in {(a.kind, a.level) for a in m.alerts}
@@ -163,7 +163,7 @@ def test_merged_log_is_what_is_written(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.csv").write_text(BASIC + "3,Jo,2025-06-01 13:00:00\n")
+    (tmp_path / "in/a.csv").write_text(BASIC + "3,core,2024-03-04 22:15:00\n")
     assert main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out")]) == 0
     assert {p.name for p in (tmp_path / "out").iterdir()} >= {"statistics", "errors", "alerts", "Duplicates", "Redactions"}
     assert main(["-p"]) == 0 and "Epoch" in capsys.readouterr().out

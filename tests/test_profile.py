@@ -3,13 +3,15 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logtide.operators import alerts, duplicates, multipart
-from logtide.operators.profile import gaps, time_profile, top_gaps
+from logtide.operators.profile import summaries, time_profile, top_gaps
 
 DAY = dt.datetime(2025, 5, 9)
 
@@ -18,8 +20,8 @@ def log(spark, times, name="a"):
     return spark.createDataFrame([(name, i, None if t is None else DAY + dt.timedelta(hours=t)) for i, t in enumerate(times)], "file_path string, idx long, ts timestamp_ntz")
 
 
-def profile(spark, times, blocks=4):
-    return time_profile(log(spark, times), ["file_path"], blocks=blocks).first()
+def profile(spark, times, block=4, ranges=3):
+    return time_profile(log(spark, times), ["file_path"], block=block, ranges=ranges).first()
 
 
 def test_gaps(spark):
@@ -34,19 +36,27 @@ def test_first_of_tied_gaps(spark):
     assert p.ltg_begin == DAY + dt.timedelta(hours=1)
 
 
-def test_an_outlying_index_leaves_the_blocks_alone(spark):
-    rows = [("a", i, DAY + dt.timedelta(minutes=i)) for i in range(1_000)] + [("a", 10**15, DAY + dt.timedelta(days=30))]
-    df = spark.createDataFrame(rows, "file_path string, idx long, ts timestamp_ntz")
-    assert gaps(df, ["file_path"], blocks=16).select("_block").distinct().count() > 16
-    p = time_profile(df, ["file_path"], blocks=16).first()
-    assert (p.n_ts, p.n_gaps, p.ltg_begin, p.ltg_end) == (1_001, 1_000, rows[-2][2], rows[-1][2])
+@pytest.mark.parametrize("spread", ["pareto", "log", "one group", "groups"])
+def test_ranges_hold_equal_shares(spark, spread):
+    """However the order column is spread, no range holds twice the mean, and summaries are as few as ranges and groups."""
+    rng, n = np.random.default_rng(5), 40_000
+    at = {"pareto": rng.pareto(0.5, n) * 1e3, "log": 10 ** rng.uniform(0, 15, n)}.get(spread, np.arange(n))
+    at = np.unique(np.minimum(at, 1e17).astype(np.int64))
+    of = np.where(rng.random(len(at)) < 0.34, 0, rng.integers(0, 500, len(at))) if spread == "groups" else np.zeros(len(at), int)
+    rows = spark.createDataFrame(pd.DataFrame({"g": of, "idx": at, "ts": pd.Timestamp(DAY) + pd.to_timedelta(np.arange(len(at)), "s")})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    states = summaries(rows, ["g"], ranges=16)
+    sizes = [r[0] for r in states.groupBy("_part").agg(F.sum("n_records")).select("sum(n_records)").collect()]
+    assert len(sizes) >= 14 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert states.count() <= len(set(of.tolist())) + 16
+    p = {r.g: r for r in time_profile(rows, ["g"], ranges=16).collect()}
+    seconds = pd.Series(np.arange(len(at))).groupby(of)
+    assert {g: (r.n_ts, r.ltg_us, r.violation) for g, r in p.items()} == {g: (len(x), int(x.diff().max() * 1e6) if len(x) > 1 else None, None) for g, x in seconds}
 
 
-def test_blocks_grow_with_the_records(spark, monkeypatch):
-    monkeypatch.setattr("logtide.operators.profile.BLOCK_RECORDS", 10)
-    df = log(spark, list(range(500)))
-    assert gaps(df, ["file_path"], blocks=4).select("_block").distinct().count() >= 50
-    assert time_profile(df, ["file_path"], blocks=4).first().n_gaps == 499
+def test_records_are_read_in_one_exchange(spark):
+    """Records are dealt once, by ranges; groups and joins afterwards see summaries."""
+    plan = time_profile(log(spark, [1, 2]), ["file_path"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and "Join" not in plan
 
 
 def test_parts_in_many_ranges(spark):
@@ -93,16 +103,17 @@ def test_null_group_is_a_group(spark):
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.integers(0, 6)), min_size=1, max_size=14), st.integers(1, 6), st.booleans())
-def test_against_one_pass(spark, times, blocks, ordered):
-    """The blocks' figures add up to those of a plain walk."""
+def test_against_one_pass(spark, times, ranges, ordered):
+    """The summaries merge to the figures of a plain walk."""
     if ordered:
         times = sorted((t for t in times if t is not None))
         times = times or [0]
-    p = profile(spark, times, blocks)
+    p = profile(spark, times, 1, ranges)
     seen = [(i, t) for i, t in enumerate(times) if t is not None]
     change = next((b[1] - a[1] for a, b in zip(seen, seen[1:]) if b[1] != a[1]), -1)
     bad = next((b[0] for a, b in zip(seen, seen[1:]) if (b[1] - a[1]) * change < 0), None)
     assert (p.n_records, p.violation) == (len(times), bad)
+    assert p.null_ts == sum(t is None for t in times[:bad])
     if bad is None:
         gaps = [abs(b[1] - a[1]) * 3_600_000 for a, b in zip(seen, seen[1:])]
         assert (p.n_ts, p.n_gaps) == (len(seen), len(gaps))
@@ -140,10 +151,15 @@ def test_alert_levels(spark):
     assert kinds(stats(spark, 7, 0, 0, 6, 5.0, 0.0)) == {("SusTimeGap", "High")}
 
 
-def test_pooled_moments():
-    assert multipart.combined_moments(5, 4.6, 4.64, 4, 6.5, 12.25) == pytest.approx((9, 5.444444444444445, 8.913580246913579))
-    assert multipart.with_value(9, 5.444444444444445, 8.913580246913579, 15.0) == pytest.approx((10, 6.4, 16.24))
-    assert multipart.combined_mean(0, 1.0, 0, 2.0) is None
+def test_merged_moments(spark):
+    """Random parts that all overlap: the merged moments are those of all gaps together."""
+    rng = np.random.default_rng(9)
+    gaps = [rng.integers(1, 5_000, k).astype(float) for k in (1, 4, 30, 7)]
+    rows = [(f"p{k}", DAY, DAY + dt.timedelta(days=1), len(g), len(g) + 1, float(g.mean()), float(g.var()), int(g.max()) * 1000) for k, g in enumerate(gaps)]
+    parts = spark.createDataFrame(rows, "part string, min_ts timestamp_ntz, max_ts timestamp_ntz, n_records long, n_ts long, gap_mean_ms double, gap_var_ms double, ltg_us long")
+    parts = parts.withColumns({"n_dupes": F.lit(0), "n_redactions": F.lit(0), "ltg_begin": F.col("min_ts"), "ltg_end": F.col("max_ts")})
+    m, every = multipart.merged(parts, "part").first(), np.concatenate(gaps)
+    assert (m.n_gaps, m.gap_mean_ms, m.gap_var_ms, m.n_overlaps) == (len(every), pytest.approx(every.mean()), pytest.approx(every.var()), 3)
 
 
 def test_merge_equals_profile_of_the_whole(spark):
