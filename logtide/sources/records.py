@@ -3,17 +3,14 @@
 ``idx`` is the record's number in its file, from 0: physical lines for JSON and text,
 parsed records behind nothing skipped for CSV. Files are read in splits; a record's
 number is its row in the split plus the rows of the splits before it, so a huge file
-needs no sort and no task of its own. Only CSV files in which a quoted field may hold a
-line break are parsed as a whole.
+needs no sort and no task of its own, quoted line breaks or not.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,38 +66,163 @@ def json_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
     return text_records(spark, files).where(F.trim("line") != "")
 
 
-def _split_csv(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda line: next(csv.reader([line], strict=False), []))
+def open_after(line: str, inside: bool) -> bool:
+    """Whether a quoted field is open behind a line that begins outside or inside of one."""
+    at = 0
+    while True:
+        if inside:
+            at = line.find('"', at)
+            if at < 0:
+                return True
+            if line[at + 1 : at + 2] == '"':
+                at += 2
+                continue
+        elif line[at : at + 1] == '"':
+            inside, at = True, at + 1
+            continue
+        inside, at = False, line.find(",", at) + 1  # what follows a closing quote belongs to its field
+        if not at:
+            return False
+
+
+def fields_of(record: str) -> list[str]:
+    """The fields of one record. A quote opens a field only at its start; two inside are one."""
+    if '"' not in record:
+        return record.split(",")
+    out, at, n = [], 0, len(record)
+    while True:
+        text = ""
+        if record[at : at + 1] == '"':
+            at += 1
+            while True:
+                end = record.find('"', at)
+                if end < 0:  # never closed
+                    return [*out, text + record[at:]]
+                text += record[at:end]
+                at = end + 1
+                if record[at : at + 1] != '"':
+                    break
+                text, at = text + '"', at + 1
+        end = record.find(",", at)
+        if end < 0:
+            return [*out, text + record[at:n]]
+        out.append(text + record[at:end])
+        at = end + 1
+
+
+def _splits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[str], bool]]:
+    """(the row of a split's other columns, some of its lines in their order, whether its first are among them)."""
+    last = None
+    for b in batches:
+        names = [n for n in b.schema.names if n != "line"]
+        heads = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names], strict=True))
+        lines = [x.decode("utf-8", "replace") for x in b.column(b.schema.get_field_index("line")).cast(pa.binary()).to_pylist()]
+        at = 0
+        while at < len(lines):
+            to = at + 1
+            while to < len(lines) and heads[to] == heads[at]:
+                to += 1
+            yield heads[at], lines[at:to], heads[at] != last
+            last, at = heads[at], to
+
+
+def _quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split: where it ends and how many records begin in it, if it begins outside or inside of quotes."""
+    now, state, count = None, [False, True], [0, 0]
+
+    def row():
+        return pa.RecordBatch.from_pylist([{"file_path": now[0], "_split": now[1], "end_out": state[0], "end_in": state[1], "n_out": count[0], "n_in": count[1]}])
+
+    for head, lines, new in _splits_of(batches):
+        if new:
+            if now is not None:
+                yield row()
+            now, state, count = head, [False, True], [0, 0]
+        for line in lines:
+            plain = '"' not in line
+            for k in (0, 1):
+                if not state[k] and line not in ("", "\r"):
+                    count[k] += 1
+                if not plain:
+                    state[k] = open_after(line, state[k])
+    if now is not None:
+        yield row()
+
+
+_PARSED = pa.schema([("file_path", pa.string()), ("idx", pa.int64()), ("fields", pa.list_(pa.string())), ("line", pa.string()), ("_split", pa.int64())])
+
+
+def _ended(text: str) -> str:
+    """A record's text without its carriage return."""
+    return text[:-1] if text.endswith("\r") else text
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records whole in their split with fields; those that begin or end in another one as pieces, without."""
+    rows: list[tuple] = []
+    now, inside, number, held = None, False, 0, []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARSED.types, strict=True)], schema=_PARSED)
+
+    def piece():
+        if held:
+            rows.append((now[0], number - 1, None, "\n".join(held), now[1]))
+
+    carried = False  # whether the open record has begun in an earlier split
+    for head, lines, new in _splits_of(batches):
+        if new:
+            piece()
+            now, inside, number, held = head, head[2], head[3], []
+            carried = inside
+        for line in lines:
+            if not inside:
+                if line in ("", "\r"):
+                    continue
+                number, held, carried = number + 1, [], False
+            held.append(line)
+            inside = open_after(line, inside) if '"' in line else inside
+            if not inside:
+                text = "\n".join(held)
+                rows.append((now[0], number - 1, None, text, now[1]) if carried else (now[0], number - 1, fields_of(_ended(text)), _ended(text), now[1]))
+                held = []
+        if len(rows) >= 2_000:
+            yield batch()
+            rows = []
+    piece()
+    if rows:
+        yield batch()
 
 
 def csv_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
-    """Ragged records; blank lines are none. Files in which a quote is left open on some line are parsed whole."""
+    """Ragged records; empty lines are none.
+
+    A line break may stand in quotes, so where a split begins depends on all before it. Each
+    split first tells, for a begin outside and one inside of quotes, how it ends and how many records
+    begin in it; these functions are composed along each file, one row a split. Then every
+    split is parsed where it lies, and only records that cross its ends are put together."""
     importable(spark)
-    lines = numbered_lines(spark, files)
-    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
-    opened = lines.groupBy("file_path").agg(F.max((quotes % 2).cast("int")).alias("_open"))
-    simple = lines.where(F.trim("line") != "").join(opened.where("_open = 0").select("file_path"), "file_path")
-    one = simple.select("file_path", "idx", F.pandas_udf(_split_csv, "array<string>")("line").alias("fields"), "line")
-    blanks = lines.where(F.trim("line") == "").groupBy("file_path").agg(F.sort_array(F.collect_list("idx")).alias("_blank"))
-    shifted = one.join(blanks, "file_path", "left")
-    gone = F.coalesce(F.size(F.filter("_blank", lambda b: b < F.col("idx"))), F.lit(0))
-    one = shifted.select("file_path", (F.col("idx") - F.when(F.col("_blank").isNull(), 0).otherwise(gone)).cast("bigint").alias("idx"), "fields", "line")
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_paths(files)).select(F.col("path").alias("file_path"), "content")
-    whole = whole.join(opened.where("_open = 1").select("file_path"), "file_path")
-
-    def parse(batches):
-        for b in batches:
-            for path, content in zip(b["file_path"], b["content"], strict=True):
-                reader = csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=""))
-                held = []
-                for k, fields in enumerate(r for r in reader if r):
-                    held.append((path, k, fields, ",".join(fields)))
-                    if len(held) == 5_000:
-                        yield pd.DataFrame(held, columns=["file_path", "idx", "fields", "line"])
-                        held = []
-                yield pd.DataFrame(held, columns=["file_path", "idx", "fields", "line"])
-
-    return one.unionByName(whole.mapInPandas(parse, SCHEMA))
+    raw = spark.read.option("recursiveFileLookup", "true").text(_paths(files), lineSep="\n")
+    rows = raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("file_path"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"))
+    told = rows.mapInArrow(_quotes, "file_path string, _split long, end_out boolean, end_in boolean, n_out long, n_in long")
+    earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a split leaves the state as it is, turns it round, or sets it
+    turned = told.withColumn("_turns", F.sum((F.col("end_out") & ~F.col("end_in")).cast("int")).over(upto))
+    known = F.last(F.when(F.col("end_out") == F.col("end_in"), F.struct(F.col("end_out").cast("int").alias("state"), F.col("_turns").alias("turns"))), ignorenulls=True).over(earlier)
+    turns = F.coalesce(F.lag("_turns").over(Window.partitionBy("file_path").orderBy("_split")), F.lit(0))
+    begun = turned.withColumns({"_known": known, "_before": turns}).withColumn("_inside", (F.coalesce(F.col("_known.state"), F.lit(0)) + F.col("_before") - F.coalesce(F.col("_known.turns"), F.lit(0))) % 2 == 1)
+    numbered = begun.select("file_path", "_split", "_inside", F.coalesce(F.sum(F.when(F.col("_inside"), F.col("n_in")).otherwise(F.col("n_out"))).over(earlier), F.lit(0)).alias("_number"))
+    if raw.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        joined = rows.join(F.broadcast(numbered), ["file_path", "_split"])
+    else:
+        joined = rows.withColumn("_row", F.monotonically_increasing_id()).join(numbered, ["file_path", "_split"]).sortWithinPartitions("file_path", "_split", "_row")
+    parsed = joined.select("file_path", "_split", "_inside", "_number", "line").mapInArrow(_parse, f"{SCHEMA}, _split long")
+    whole = parsed.where("fields IS NOT NULL").select("file_path", "idx", "fields", "line")
+    pieces = parsed.where("fields IS NULL").groupBy("file_path", "idx").agg(F.sort_array(F.collect_list(F.struct("_split", "line"))).alias("p"))
+    text = F.regexp_replace(F.concat_ws("\n", F.col("p.line")), "\r$", "")
+    crossing = pieces.select("file_path", "idx", F.pandas_udf(lambda x: x.map(fields_of), "array<string>")(text).alias("fields"), text.alias("line"))
+    return whole.unionByName(crossing)
 
 
 READERS = {"csv": csv_records, "json": json_records, "text": text_records}
