@@ -1,7 +1,9 @@
 """Leaves and pointers of JSON texts.
 
 Spark's own JSON functions change numbers' spelling and take duplicate keys otherwise,
-so a small Arrow function parses strictly: one value a line, no NaN, sorted keys.
+so a small Arrow function parses strictly, once for leaves and errors: one value a line, no NaN,
+no number beyond the doubles, no half of a surrogate pair, no more than DEPTH levels, sorted
+keys. What breaks one of these is no JSON, with a reason; no line ends the job.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 
 from ..session import importable
 
+#: Objects and arrays within each other.
+DEPTH = 127
+PARSED = "struct<leaves: array<struct<path: string, value: string>>, error: string>"
+
 
 def arrow_path(path: str) -> str:
     """a->b as a JSON pointer: /a/b"""
@@ -22,65 +28,77 @@ def arrow_path(path: str) -> str:
 
 
 def _refuse(name: str):
-    raise ValueError(name)
+    raise ValueError(f"{name} is no JSON number")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("number out of range")
+    return value
+
+
+_decoder = json.JSONDecoder(parse_constant=_refuse, parse_float=_number)
 
 
 def parse(line: str):
-    return json.loads(line, parse_constant=_refuse)
+    """The value of a line; ValueError with a reason if it isn't JSON."""
+    try:
+        return _decoder.decode(line)
+    except RecursionError:
+        raise ValueError("recursion limit exceeded") from None
 
 
 def scalar_text(value) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
+    text = value if isinstance(value, str) else json.dumps(value)
+    text.encode()  # halves of surrogate pairs can't be
+    return text
 
 
-def walk(value, path: str = "") -> Iterator[tuple[str, str]]:
+def walk(value, path: str = "", level: int = 0) -> Iterator[tuple[str, str]]:
     """(path, text) of every scalar, depth first, keys in order."""
-    if isinstance(value, dict):
-        for k in sorted(value):
-            yield from walk(value[k], f"{path}/{k}")
-    elif isinstance(value, list):
-        for k, v in enumerate(value):
-            yield from walk(v, f"{path}/{k}")
-    else:
+    if not isinstance(value, (dict, list)):
         yield path, scalar_text(value)
+        return
+    if level == DEPTH:
+        raise ValueError("recursion limit exceeded")
+    for k, v in sorted(value.items()) if isinstance(value, dict) else enumerate(value):
+        if isinstance(value, dict):
+            k.encode()
+        yield from walk(v, f"{path}/{k}", level + 1)
 
 
-def _leaves(lines: pd.Series) -> pd.Series:
-    def one(line):
-        if line is None:
-            return None
-        try:
-            return [{"path": p, "value": v} for p, v in walk(parse(line))]
-        except ValueError:
-            return None
+def taken_apart(line: str | None) -> dict:
+    """leaves and error of a line, one of them null; a null line is an empty one."""
+    try:
+        return {"leaves": [{"path": p, "value": v} for p, v in walk(parse(line or ""))], "error": None}
+    except UnicodeEncodeError:
+        return {"leaves": None, "error": "lone surrogate"}
+    except ValueError as e:
+        return {"leaves": None, "error": str(e)}
 
-    return lines.map(one)
 
+def _parsed(lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([taken_apart(line) for line in lines], columns=["leaves", "error"])
 
-def _state(lines: pd.Series) -> pd.Series:
-    def one(line):
-        try:
-            parse(line or "")
-            return None
-        except (ValueError, RecursionError) as e:
-            return str(e)
 
-    return lines.map(one)
+def parsed(line: Column) -> Column:
+    """Leaves (null where the text isn't JSON) and error (null where it is)."""
+    importable(SparkSession.active())
+    return F.pandas_udf(_parsed, PARSED)(line)
 
 
 def leaves(line: Column) -> Column:
     """array<struct<path, value>>; null where the text isn't JSON."""
-    importable(SparkSession.active())
-    return F.pandas_udf(_leaves, "array<struct<path:string,value:string>>")(line)
+    return parsed(line)["leaves"]
 
 
-def json_error(line: Column) -> Column:
-    """Why the text isn't JSON; null if it is."""
-    importable(SparkSession.active())
-    return F.pandas_udf(_state, "string")(line)
+def leaf(leaves: Column, pointer: Column | str) -> Column:
+    """The text of the leaf at a pointer; null if there is none."""
+    hit = F.filter(leaves, lambda x: x["path"] == pointer)
+    return F.try_element_at(hit, F.lit(1))["value"]
 
 
 def at_pointer(line: Column, pointer: str) -> Column:
     """The scalar at the pointer as text; null if there is none."""
-    hit = F.filter(leaves(line), lambda leaf: leaf["path"] == pointer)
-    return F.when(F.size(hit) > 0, F.element_at(hit, 1)["value"])
+    return leaf(leaves(line), pointer)

@@ -42,8 +42,8 @@ def csv_binding(records: DataFrame, headers: DataFrame, formats: Sequence[Timest
 
 
 def json_binding(records: DataFrame, formats: Sequence[TimestampFormat], field: str | None = None) -> DataFrame:
-    """The same from line 0 of JSON lines; the column is a pointer. Without a first line, or a broken one: none."""
-    first = records.where("idx = 0").withColumn("leaves", jsonpaths.leaves(F.col("line")))
+    """The same from line 0 of JSON lines (with their ``leaves``); the column is a pointer. Without a first line, or a broken one: none."""
+    first = records.where("idx = 0")
     leaves = F.col("leaves")
     if field is not None:
         pointer = jsonpaths.arrow_path(field)

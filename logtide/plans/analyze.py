@@ -52,13 +52,13 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
         headers, bindings = headers.unionByName(h), bindings.unionByName(b)
         out = out.unionByName(timed.withColumn("bad_json", F.lit(None).cast("string")).select(*_COMMON))
     if paths["json"]:
-        raw = stored(R.json_records(spark, paths["json"]))
+        read = R.json_records(spark, paths["json"]).withColumn("_json", jsonpaths.parsed(F.col("line")))
+        raw = stored(read.select("*", F.col("_json.leaves").alias("leaves"), F.col("_json.error").alias("bad_json")).drop("_json"))
         b = stored(detect.json_binding(raw, s.formats, s.timestamp_field))
-        joined = raw.join(b, "file_path", "left").withColumn("leaves", jsonpaths.leaves(F.col("line")))
-        value = F.try_element_at(F.filter("leaves", lambda x: x["path"] == F.col("column")), F.lit(1))["value"]
-        timed = detect.with_times(joined.withColumn("value", value), F.col("value"), s.formats)
+        joined = raw.join(b, "file_path", "left")
+        timed = detect.with_times(joined.withColumn("value", jsonpaths.leaf(F.col("leaves"), F.col("column"))), F.col("value"), s.formats)
         bindings = bindings.unionByName(b)
-        out = out.unionByName(timed.withColumn("bad_json", jsonpaths.json_error(F.col("line"))).select(*_COMMON))
+        out = out.unionByName(timed.select(*_COMMON))
     if paths["text"]:
         raw = stored(R.text_records(spark, paths["text"]))
         b = stored(detect.text_binding(raw, s.formats))

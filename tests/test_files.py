@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logtide.__main__ import main
 from logtide.config import Settings, user_formats
+from logtide.functions import jsonpaths
 from logtide.functions.timestamps import spark_pattern
 from logtide.plans import analyze, sinks
 from logtide.sources import records as R
@@ -109,6 +110,20 @@ def test_json_named_path_and_bad_line(spark, tmp_path):
     assert [x.idx for x in r.errors.collect()] == [1]
 
 
+ODD_JSON = ["[" * 200_000, "[" * 128 + "]" * 128, '{"a":"\\ud800"}', '{"\\udc00":1}', '{"a":1e400}', '{"a":-1e999}', '{"a":NaN}', '{"a":1} x', "[1" + "0" * 5_000 + "]", '{"a"']
+
+
+def test_json_lines_that_are_odd_are_errors(spark, tmp_path):
+    """Deep nesting, halves of surrogate pairs, numbers without end: each is an error of its line, and no more."""
+    good = [f'{{"t":"2025-01-0{k} 00:00:00","deep":{"[" * 100 + "1" + "]" * 100}}}' for k in (1, 2)]
+    s, r = one(spark, tmp_path, "a.json", "\n".join([good[0], *ODD_JSON, good[1]]))
+    assert (s.n_records, s.n_ts, s.n_errors, s.column) == (len(ODD_JSON) + 2, 2, len(ODD_JSON), "/t")
+    assert {(x.idx, x.level) for x in r.errors.collect()} == {(k + 1, "Critical") for k in range(len(ODD_JSON))}
+    lines = spark.createDataFrame([(x,) for x in [*ODD_JSON, None, '{"b":{"a":[1,{"c":"\\ud83d\\ude00"}],"b":1e2}}']], "line string")
+    got = [x.leaves for x in lines.select(jsonpaths.leaves(F.col("line")).alias("leaves")).collect()]
+    assert got[:-1] == [None] * (len(ODD_JSON) + 1) and [tuple(x) for x in got[-1]] == [("/b/a/0", "1"), ("/b/a/1/c", "😀"), ("/b/b", "100.0")]
+
+
 def test_json_first_line_bad(spark, tmp_path):
     s, _ = one(spark, tmp_path, "a.json", '{oops\n{"t":"2025-01-01 00:00:00"}\n')
     assert (s.n_records, s.n_ts, s.min_ts, s.format) == (2, 0, None, None)
