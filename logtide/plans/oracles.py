@@ -105,7 +105,24 @@ def _extract(k: int) -> str:
 
 _PARTS = f"""SELECT *, strftime(ts, '%Y-%m-%d') AS part FROM events"""
 
+
+
+def _logs(kind: str, column: str, first: str, fields: str, hits: str, timed: str = "true") -> str:
+    """The figures of the logs that the events make up, 2,500 numbers each."""
+    return f"""WITH e AS (SELECT event_id // 2500 AS log, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) - 1 AS i, {fields} AS f,
+        CASE WHEN {timed} THEN date_trunc('second', ts) END AS t FROM events), {_profile("e", "log", "i", "t")},
+    d AS (SELECT log AS g, CAST(count(*) - count(DISTINCT f) AS BIGINT) AS dupes FROM e GROUP BY 1)
+    SELECT p.g AS log, '{kind}' AS log_type, '{column}' AS "column", {first} AS first_data_row, 2 AS format, n_records, n_ts, min_ts, max_ts, violation, n_gaps, ltg_us, round(mean, 3) AS gap_mean_ms, round(sqrt(var), 3) AS gap_std_ms,
+      dupes AS n_dupes, CAST({hits} AS BIGINT) AS n_redactions, (violation IS NOT NULL)::BIGINT + (SELECT count(*) FROM e WHERE e.log = p.g AND t IS NULL AND (violation IS NULL OR i < violation)) AS n_errors
+    FROM p JOIN d USING (g)"""
+
+
+_SECOND = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+
 SQL = {
+    "csv_logs": _logs("csv", "seen", "1", f"struct_pack(u := user_id, k := event_type, s := {_SECOND})", "n_records"),
+    "json_logs": _logs("json", "/at/time", "NULL", f"struct_pack(u := user_id, k := event_type, s := {_SECOND})", "0"),
+    "text_logs": _logs("text", "Record", "NULL", f"event_type || ' at ' || CASE WHEN event_id % 11 = 7 THEN 'soon' ELSE {_SECOND} END || ' by ' || user_id", "0", "event_id % 11 <> 7"),
     "time_profile_by_type": _profile_query("event_type"),
     "time_profile_by_user": _profile_query("user_id"),
     "file_sortedness": f"""

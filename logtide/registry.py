@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import oracles, tables
+from .plans import files, oracles, tables
 
 
 def queries() -> dict:
-    return dict(tables.QUERIES)
+    return tables.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,16 +27,21 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder in spark.checkpoint.dir and reads them back: what is
-    parsed once is used often, and a lost executor costs only its tasks. Where that is unset, a
-    local session takes a temporary folder; on a cluster it is an error."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session takes a
+    temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = stored.fallback = getattr(stored, "fallback", None) or tempfile.mkdtemp(prefix="scratch-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = scratch_dir.fallback = getattr(scratch_dir, "fallback", None) or tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes the rows to the folder in spark.checkpoint.dir and reads them back: what is
+    parsed once is used often, and a lost executor costs only its tasks."""
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
