@@ -19,7 +19,7 @@ from ..session import importable
 
 #: Objects and arrays within each other.
 DEPTH = 127
-PARSED = "struct<leaves: array<struct<path: string, value: string>>, error: string>"
+PARSED = "struct<leaves: array<struct<path: string, value: string, kind: string>>, error: string>"
 
 
 def arrow_path(path: str) -> str:
@@ -55,11 +55,14 @@ def scalar_text(value) -> str:
     return text
 
 
-def walk(value, path: str = "", level: int = 0) -> Iterator[tuple[str, str]]:
-    """(path, text) of every scalar, depth first, keys in order."""
+def walk(value, path: str = "", level: int = 0) -> Iterator[tuple[str, str | None, str]]:
+    """(path, text, kind) of every scalar, depth first, keys in order; kind: text, number, other.
+    An object or array without any has no text, and the kind empty."""
     if not isinstance(value, (dict, list)):
-        yield path, scalar_text(value)
+        yield path, scalar_text(value), "text" if isinstance(value, str) else "other" if value is None or isinstance(value, bool) else "number"
         return
+    if not value:
+        yield path, None, "empty"
     if level == DEPTH:
         raise ValueError("recursion limit exceeded")
     for k, v in sorted(value.items()) if isinstance(value, dict) else enumerate(value):
@@ -71,7 +74,7 @@ def walk(value, path: str = "", level: int = 0) -> Iterator[tuple[str, str]]:
 def taken_apart(line: str | None) -> dict:
     """leaves and error of a line, one of them null; a null line is an empty one."""
     try:
-        return {"leaves": [{"path": p, "value": v} for p, v in walk(parse(line or ""))], "error": None}
+        return {"leaves": [{"path": p, "value": v, "kind": k} for p, v, k in walk(parse(line or ""))], "error": None}
     except UnicodeEncodeError:
         return {"leaves": None, "error": "lone surrogate"}
     except ValueError as e:
@@ -89,8 +92,15 @@ def parsed(line: Column) -> Column:
 
 
 def leaves(line: Column) -> Column:
-    """array<struct<path, value>>; null where the text isn't JSON."""
-    return parsed(line)["leaves"]
+    """array<struct<path, value, kind>> of the scalars; null where the text isn't JSON."""
+    return F.filter(parsed(line)["leaves"], lambda x: x["kind"] != "empty")
+
+
+def kind_at(leaves: Column, pointer: Column) -> Column:
+    """What stands at a pointer: text, number, other (true, false, null) or container; null if nothing does."""
+    here = F.try_element_at(F.filter(leaves, lambda x: x["path"] == pointer), F.lit(1))["kind"]
+    below = F.exists(leaves, lambda x: F.startswith(x["path"], F.concat(pointer, F.lit("/"))))
+    return F.when(here == "empty", "container").when(here.isNotNull(), here).when(below, "container")
 
 
 def leaf(leaves: Column, pointer: Column | str) -> Column:

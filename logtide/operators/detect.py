@@ -44,10 +44,10 @@ def csv_binding(records: DataFrame, headers: DataFrame, formats: Sequence[Timest
 def json_binding(records: DataFrame, formats: Sequence[TimestampFormat], field: str | None = None) -> DataFrame:
     """The same from line 0 of JSON lines (with their ``leaves``); the column is a pointer. Without a first line, or a broken one: none."""
     first = records.where("idx = 0")
-    leaves = F.col("leaves")
+    leaves = F.filter("leaves", lambda x: x["kind"] != "empty")
     if field is not None:
         pointer = jsonpaths.arrow_path(field)
-        leaves = F.filter(leaves, lambda x: x["path"] == pointer)
+        leaves = F.filter(leaves, lambda x: (x["path"] == pointer) & (x["kind"] == "text"))
     out = first.withColumn("hit", F.when(F.size(leaves) > 0, _first_hit(leaves, formats, "path", "value")))
     return out.where("hit is not null").select("file_path", F.col("hit.column").alias("column"), F.lit(0).alias("column_index"), F.col("hit.format").alias("format"))
 

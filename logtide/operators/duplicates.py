@@ -45,6 +45,6 @@ def duplicate_listing(records: DataFrame, group: Sequence[str], fields: Sequence
     return hashed.join(first, cond).where(F.col(order) > F.col("_first")).select(*records.columns)
 
 
-def record_hash(fields: Sequence[str]):
-    """A 64-bit hash of a record for display, in hexadecimal."""
-    return F.lower(F.hex(F.xxhash64(*fields)))
+def record_hash(df: DataFrame, fields: Sequence[str]) -> Column:
+    """The first 64 bits of a record's digest for display, in hexadecimal."""
+    return F.lower(F.substring(F.hex(record_digest(df, fields)), 1, 16))

@@ -14,7 +14,7 @@ from ..session import stored
 from ..sources import records as R
 
 #: What a file of a kind contributes, whatever its kind.
-_COMMON = ["file_path", "idx", "fields", "matched", "ts", "bad_json"]
+_COMMON = ["file_path", "idx", "fields", "matched", "ts", "bad_json", "log_type", "fatal"]
 ERROR_SCHEMA = "file_path string, idx long, level string, reason string"
 
 
@@ -42,7 +42,7 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
     paths = {k: [r.file_path for r in files.where(F.col("log_type") == k).select("file_path").collect()] for k in R.READERS}  # names of files, as any reader needs them
     headers = _empty(spark, "file_path string, first_data_row int, headers array<string>")
     bindings = _empty(spark, "file_path string, column string, column_index int, format int")
-    out = _empty(spark, "file_path string, idx long, fields array<string>, matched boolean, ts timestamp_ntz, bad_json string")
+    out = _empty(spark, "file_path string, idx long, fields array<string>, matched boolean, ts timestamp_ntz, bad_json string, log_type string, fatal string")
     if paths["csv"]:
         raw = stored(R.csv_records(spark, paths["csv"]))
         h = stored(detect.csv_headers(raw))
@@ -50,7 +50,8 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
         data = raw.join(h, "file_path").where("idx >= first_data_row").withColumn("idx", F.col("idx") - F.col("first_data_row"))
         timed = detect.with_times(data.join(b, "file_path", "left"), F.try_element_at("fields", F.col("column_index") + 1), s.formats)
         headers, bindings = headers.unionByName(h), bindings.unionByName(b)
-        out = out.unionByName(timed.withColumn("bad_json", F.lit(None).cast("string")).select(*_COMMON))
+        narrow = F.when(F.size("fields") <= F.col("column_index"), F.lit("has no field where the timestamp is"))
+        out = out.unionByName(timed.withColumns({"bad_json": F.lit(None).cast("string"), "log_type": F.lit("csv"), "fatal": narrow}).select(*_COMMON))
     if paths["json"]:
         read = R.json_records(spark, paths["json"]).withColumn("_json", jsonpaths.parsed(F.col("line")))
         raw = stored(read.select("*", F.col("_json.leaves").alias("leaves"), F.col("_json.error").alias("bad_json")).drop("_json"))
@@ -58,20 +59,24 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
         joined = raw.join(b, "file_path", "left")
         timed = detect.with_times(joined.withColumn("value", jsonpaths.leaf(F.col("leaves"), F.col("column"))), F.col("value"), s.formats)
         bindings = bindings.unionByName(b)
-        out = out.unionByName(timed.select(*_COMMON))
+        fatal = F.when(jsonpaths.kind_at(F.col("leaves"), F.col("column")).isin("other", "container"), F.lit("has a timestamp field that is neither text nor a number"))
+        if s.timestamp_field is not None:
+            named = jsonpaths.kind_at(F.col("leaves"), F.lit(jsonpaths.arrow_path(s.timestamp_field)))
+            fatal = F.when((F.col("idx") == 0) & (named != "text"), F.lit("has no text in the named timestamp field")).otherwise(fatal)
+        out = out.unionByName(timed.withColumns({"log_type": F.lit("json"), "fatal": fatal}).select(*_COMMON))
     if paths["text"]:
         raw = stored(R.text_records(spark, paths["text"]))
         b = stored(detect.text_binding(raw, s.formats))
         timed = detect.with_times(raw.join(b, "file_path", "left"), F.col("line"), s.formats)
         bindings = bindings.unionByName(b)
-        out = out.unionByName(timed.withColumn("bad_json", F.lit(None).cast("string")).select(*_COMMON))
+        out = out.unionByName(timed.withColumns({"bad_json": F.lit(None).cast("string"), "log_type": F.lit("text"), "fatal": F.lit(None).cast("string")}).select(*_COMMON))
     return stored(files), stored(headers), stored(bindings), stored(out)
 
 
 def analyze(spark: SparkSession, s: Settings) -> Run:
     files, headers, bindings, records = load(spark, s)
     bound = records.join(bindings.select("file_path", "format"), "file_path", "left")
-    broken = stored(bound.where("matched and ts is null").groupBy("file_path").agg(F.min("idx").alias("broken_at")))
+    broken = stored(_broken(bound))
     fine = records.join(broken, "file_path", "left_anti")
     p = stored(profile.time_profile(fine, ["file_path"], "idx", "ts", s.block))
     stats = files.join(p, "file_path", "left").join(broken, "file_path", "left").join(bindings, "file_path", "left").join(headers, "file_path", "left")
@@ -95,6 +100,18 @@ def analyze(spark: SparkSession, s: Settings) -> Run:
     return Run(files, records, bindings, headers, stats, errors, s)
 
 
+def _broken(bound: DataFrame) -> DataFrame:
+    """file_path, broken_at, why: the first record that ends a file's analysis."""
+    why = F.coalesce("fatal", F.when(F.col("matched") & F.col("ts").isNull(), F.lit("has a timestamp that matches the format but can't be parsed")))
+    ended = bound.withColumn("why", why).where("why is not null").select("file_path", "idx", "why")
+    # a CSV file's direction must show before any record without a time
+    csv = bound.where("log_type = 'csv' and format is not null").select("file_path", "idx", "ts")
+    begun = csv.where("ts is not null").groupBy("file_path").agg(F.min_by("ts", "idx").alias("begin"))
+    seen = csv.join(begun, "file_path").groupBy("file_path").agg(F.min(F.when(F.col("ts").isNull(), F.col("idx"))).alias("idx"), F.min(F.when(F.col("ts") != F.col("begin"), F.col("idx"))).alias("turn"))
+    blind = seen.where("idx is not null and (turn is null or idx < turn)").select("file_path", "idx", F.lit("has no timestamp, and the direction of time isn't known yet").alias("why"))
+    return ended.unionByName(blind).groupBy("file_path").agg(F.min("idx").alias("broken_at"), F.min_by("why", "idx").alias("why"))
+
+
 def _errors(records: DataFrame, stats: DataFrame, broken: DataFrame) -> DataFrame:
     """file_path, idx, level, reason."""
     row = lambda idx, level, reason: (idx.cast("bigint").alias("idx"), F.lit(level).alias("level"), reason.alias("reason"))
@@ -103,8 +120,8 @@ def _errors(records: DataFrame, stats: DataFrame, broken: DataFrame) -> DataFram
     nulls = records.where("ts is null and bad_json is null and not matched").join(limits, "file_path").where("_bound is not null and broken_at is null and (violation is null or idx < violation)")
     out = out.unionByName(nulls.select("file_path", *row(F.col("idx"), "Medium", F.format_string("No timestamp found in record %d", "idx"))))
     out = out.unionByName(stats.where("violation is not null").select("file_path", *row(F.col("violation"), "Medium", F.format_string("Record %d is out of order; time analysis stopped", "violation"))))
-    out = out.unionByName(broken.select("file_path", *row(F.col("broken_at"), "Critical", F.format_string("The timestamp of record %d matches the format but can't be parsed", "broken_at"))))
-    return out.unionByName(stats.where("format is null").select("file_path", *row(F.lit(None), "Medium", F.lit("No supported timestamp was found in the file"))))
+    out = out.unionByName(broken.select("file_path", *row(F.col("broken_at"), "Critical", F.format_string("Record %d %s", "broken_at", "why"))))
+    return out.unionByName(stats.where("format is null and broken_at is null").select("file_path", *row(F.lit(None), "Medium", F.lit("No supported timestamp was found in the file"))))
 
 
 def merged(run: Run) -> DataFrame:

@@ -136,6 +136,8 @@ SQL = {
         SELECT g AS event_type, {_text("ltg_begin")} || ' to ' || {_text("ltg_end")} AS ltg, {_hours("ltg_us")} AS ltg_hours FROM p""",
     "dup_counts_by_source": "SELECT source, count(*) AS n_records, count(*) - count(DISTINCT text) - (count(*) FILTER (WHERE text IS NULL) > 0)::int AS n_dupes FROM documents GROUP BY 1",
     "dup_listing": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r FROM documents) WHERE r > 1",
+    "record_hash_dupes": """SELECT source, doc_id, left(sha256(concat_ws('|', coalesce(sha256(text), '-'), coalesce(sha256(lang), '-'))), 16) AS record_hash
+        FROM (SELECT *, row_number() OVER (PARTITION BY source, text, lang ORDER BY doc_id) AS r FROM documents) WHERE r > 1""",
     "distinct_rows": "SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_records, CAST(sum(n) - count(*) AS BIGINT) AS n_dupes FROM (SELECT * EXCLUDE (c_custkey), count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1",
     "redaction_counts": f"SELECT source, count(*) AS n_records, sum({_hits('text')})::bigint AS n_redactions FROM documents GROUP BY 1",
     "redaction_listing": f"SELECT doc_id, r.name AS rule_name FROM documents, (VALUES {_RULES}) r(name, pattern) WHERE regexp_matches(text, r.pattern)",

@@ -91,8 +91,9 @@ def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_hash_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash that detail files show, of every document that repeats an earlier one."""
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
-    return duplicates.duplicate_listing(d, ["source"], ["text", "lang"], "doc_id").select("source", "doc_id", duplicates.record_hash(["text", "lang"]).alias("record_hash"))
+    d = read(spark, sf_dir, "documents")
+    d = d.select("source", "doc_id", "text", "lang", duplicates.record_hash(d, ["text", "lang"]).alias("record_hash"))
+    return duplicates.duplicate_listing(d, ["source"], ["text", "lang"], "doc_id").select("source", "doc_id", "record_hash")
 
 
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ def test_csv_junk_above_the_header(spark, tmp_path):
 def test_csv_duplicates_and_redactions(spark, tmp_path):
     s, r = one(spark, tmp_path, "a.csv", BASIC.replace("3,core", "2,beta,2024-02-29 06:45:30\n3,c******e"))
     assert (s.n_dupes, s.n_redactions, s.n_errors) == (1, 1, 0)
-    assert [(x.stem, x["Index of Hit"]) for x in sinks.duplicate_details(r).collect()] == [("a", 2)]
-    assert [(x["Index of Hit"], x["Rule Name"]) for x in sinks.redaction_details(r).collect()] == [(3, "Asterisks")]
+    assert [x.idx for x in sinks.duplicate_details(r).collect()] == [2]
+    assert [(x.idx, x.note) for x in sinks.redaction_details(r).collect()] == [(3, "Asterisks")]
 
 
 def test_quick_leaves_nulls(spark, tmp_path):
@@ -57,8 +57,8 @@ def test_quick_leaves_nulls(spark, tmp_path):
 
 
 def test_csv_times_that_do_not_match(spark, tmp_path):
-    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("2,beta,2024-02-29 06:45:30", "2,beta,soon\n2,bet,later"))
-    assert (s.n_errors, s.n_ts, s.max_ts) == (2, 2, dt.datetime(2024, 3, 4, 22, 15))
+    s, r = one(spark, tmp_path, "a.csv", BASIC.replace("3,core", "2,beta,soon\n2,bet,later\n3,core"))
+    assert (s.n_errors, s.n_ts, s.max_ts) == (2, 3, dt.datetime(2024, 3, 4, 22, 15))
 
 
 def test_csv_time_that_can_not_be_parsed_ends_the_file(spark, tmp_path):
@@ -67,6 +67,43 @@ def test_csv_time_that_can_not_be_parsed_ends_the_file(spark, tmp_path):
     assert r.errors.first().level == "Critical"
 
 
+FATAL = {
+    "blind.csv": BASIC.replace("2,beta,2024-02-29 06:45:30", "2,beta,soon"),
+    "still.csv": "id,name,date\n1,a,2024-02-28 22:15:00\n2,b,2024-02-28 22:15:00\n3,c,never\n",
+    "narrow.csv": BASIC + "4,x\n",
+    "bool.json": '{"t":"2024-02-28 22:15:00"}\n{"t":"2024-02-28 22:16:00"}\n{"t":true}\n',
+    "list.json": '{"t":"2024-02-28 22:15:00"}\n{"t":[]}\n',
+    "number.json": '{"t":"2024-02-28 22:15:00"}\n{"t":17}\n{"x":1}\n',
+}
+
+
+def test_what_ends_a_file(spark, tmp_path):
+    """A time missing before the direction is known, a missing column, a field that can't hold a time; a number may."""
+    r = run(spark, tmp_path, FATAL)
+    got = {x.file_name: (x.n_records, x.n_ts, x.broken_at, x.n_errors) for x in r.stats.collect()}
+    assert got == {"blind.csv": (0, 0, 1, 1), "still.csv": (0, 0, 2, 1), "narrow.csv": (0, 0, 3, 1), "bool.json": (0, 0, 2, 1), "list.json": (0, 0, 1, 1), "number.json": (3, 1, None, 2)}
+    assert {x.level for x in r.errors.where("file_path NOT LIKE '%number%'").collect()} == {"Critical"}
+
+
+def test_detail_files_read_back(spark, tmp_path):
+    """Each log's details are one CSV with its own header, and the fields come back as they were."""
+    (tmp_path / "in").mkdir()
+    odd = 'id,"na,me",date\n1,"a ""b"", *** c\nd",2024-02-28 22:15:00\n1,"a ""b"", *** c\nd",2024-02-28 22:15:00\n2,,2024-02-29 22:15:00\n2,,2024-02-29 22:15:00\n'
+    r = run(spark, tmp_path / "in", {"a.csv": odd, "b.log": "x 2024-02-28 22:15:00\nx 2024-02-28 22:15:00\n", "c.csv": BASIC})
+    sinks.write_all(r, str(tmp_path / "out"))
+
+    def read(kind, log):
+        text = "".join(f.read_text() for f in sorted((tmp_path / "out" / kind / f"log={log}").glob("part-*")))
+        return list(csv.reader(io.StringIO(text, newline="")))
+
+    cell = 'a "b", *** c\nd'
+    dupes = read("Duplicates", "a")
+    assert dupes[0] == ["Index of Hit", "Hash of Record", "id", "na,me", "date"]
+    assert [(x[0], x[2:]) for x in dupes[1:]] == [("1", ["1", cell, "2024-02-28 22:15:00"]), ("3", ["2", "", "2024-02-29 22:15:00"])]
+    assert read("Redactions", "a")[1:] == [[k, "Asterisks", "1", cell, "2024-02-28 22:15:00"] for k in ("0", "1")]
+    assert read("Duplicates", "b")[0] == ["Index of Hit", "Hash of Record", "Record"] and not (tmp_path / "out/Duplicates/log=c").exists()
+
+
 def test_csv_out_of_order(spark, tmp_path):
     body = "".join(f"{i},a,2025-05-0{d} 10:00:00\n" for i, d in enumerate([1, 2, 3, 4, 2, 5]))
     s, r = one(spark, tmp_path, "a.csv", "id,name,date\n" + body)
@@ -103,7 +140,7 @@ def test_json(spark, tmp_path):
 
 
 def test_json_named_path_and_bad_line(spark, tmp_path):
-    lines = ['{"user":{"time":1672534800},"timestamp":"2025-01-01 00:00:00"}', "{oops", '{"user":{"time":1672534900}}']
+    lines = ['{"user":{"time":"1672534800"},"timestamp":"2025-01-01 00:00:00"}', "{oops", '{"user":{"time":1672534900}}']
     s, r = one(spark, tmp_path, "a.jsonl", "\n".join(lines), timestamp_field="user->time")
     assert (s.column, s.n_records, s.n_ts) == ("/user/time", 3, 2)
     assert [(a.kind, a.level) for a in s.alerts] == [("JsonError", "High")]
@@ -121,7 +158,12 @@ def test_json_lines_that_are_odd_are_errors(spark, tmp_path):
     assert {(x.idx, x.level) for x in r.errors.collect()} == {(k + 1, "Critical") for k in range(len(ODD_JSON))}
     lines = spark.createDataFrame([(x,) for x in [*ODD_JSON, None, '{"b":{"a":[1,{"c":"\\ud83d\\ude00"}],"b":1e2}}']], "line string")
     got = [x.leaves for x in lines.select(jsonpaths.leaves(F.col("line")).alias("leaves")).collect()]
-    assert got[:-1] == [None] * (len(ODD_JSON) + 1) and [tuple(x) for x in got[-1]] == [("/b/a/0", "1"), ("/b/a/1/c", "😀"), ("/b/b", "100.0")]
+    assert got[:-1] == [None] * (len(ODD_JSON) + 1) and [tuple(x) for x in got[-1]] == [("/b/a/0", "1", "number"), ("/b/a/1/c", "😀", "text"), ("/b/b", "100.0", "number")]
+
+
+def test_json_named_number_ends_the_file(spark, tmp_path):
+    s, r = one(spark, tmp_path, "a.jsonl", '{"user":{"time":1672534800}}\n{"user":{"time":"1672534900"}}', timestamp_field="user->time")
+    assert (s.n_records, s.n_ts, s.broken_at, s.n_errors) == (0, 0, 0, 1) and r.errors.first().level == "Critical"
 
 
 def test_json_first_line_bad(spark, tmp_path):
