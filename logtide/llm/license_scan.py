@@ -5,8 +5,9 @@ and non-ASCII characters a border), one blank between words. A notice that may
 have k edits is split into k + 1 pieces: if it occurs with k edits at most, one of
 the pieces occurs unchanged (pigeonhole). Exact search for the pieces over a whole
 block of texts locates candidates; the regex library's bounded-error matching then
-looks for the notice around each and reports the best span and its edits. Phrases
-without edits give the base labels.
+looks for the notice around each, between borders of words, and reports the best span
+and its edits. Where a notice stands without edits, spans with edits that overlap it are dropped.
+Phrases without edits give the base labels.
 
 Defined results: a null or empty text has no words, no labels, score 0 and null
 places; each row is scanned on its own, repeated or not, whatever its length; an
@@ -58,6 +59,16 @@ def fuzzy(notice: bytes, k: int):
     return regex.compile(rb"(?b)(?:" + regex.escape(notice) + rb"){e<=%d}" % k)
 
 
+def word_spans(page: bytes, low: int, high: int, begin: int, size: int, k: int, inside: tuple[int, int]):
+    """(begin, end) of the runs of whole words around ``inside`` that begin within k characters of ``begin`` and
+    are as long as ``size`` to within k; the text lies in [low, high)."""
+    for a in range(max(low, begin - k), min(inside[0], begin + k) + 1):
+        if a == low or page[a - 1] == 32:
+            for b in range(max(inside[1], a + size - k), min(high, a + size + k) + 1):
+                if b == high or page[b] == 32:
+                    yield a, b
+
+
 def places(haystack: bytes, needle: bytes):
     at = haystack.find(needle)
     while at >= 0:
@@ -71,25 +82,30 @@ def fuzzy_spans(texts: list[bytes], notices=NOTICES) -> list[list[tuple[int, int
     begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
     found: list[list] = [[] for _ in texts]
     for label, notice, k in notices:
-        pattern, tried = fuzzy(notice, k), {}
+        pattern, tried = fuzzy(notice, k), set()
         for offset, piece in seeds(notice, k):
             for at in places(page, piece):
                 doc = int(np.searchsorted(begin, at, side="right")) - 1
                 low, high = int(begin[doc]), int(begin[doc + 1]) - 1
-                a, b = max(low, at - offset - k), min(high, at - offset + len(notice) + k)
-                if (a, b) in tried:
-                    continue
-                tried[a, b] = True
-                if m := pattern.search(page, a, b):
-                    found[doc].append((m.start() - low, m.end() - low, label, sum(m.fuzzy_counts)))
+                for a, b in word_spans(page, low, high, at - offset, len(notice), k, (at, at + len(piece))):
+                    if (a, b) not in tried:
+                        tried.add((a, b))
+                        if m := pattern.fullmatch(page, a, b):
+                            found[doc].append((a - low, b - low, label, sum(m.fuzzy_counts)))
     return [_best(spans) for spans in found]
 
 
 def _best(spans: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """Of overlapping spans of one label, the one with the fewest edits (then the first)."""
+    """Of overlapping spans of one label, the one with the fewest edits (then the first); of different labels, one without edits before those with."""
     kept: list = []
     held: dict[str, tuple[list[int], list[int]]] = {}  # of each label: begins and ends of what is kept, ascending
-    for s in sorted(set(spans), key=lambda s: (s[3], s[0], s[1], s[2])):
+    ordered = sorted(set(spans), key=lambda s: (s[3], s[0], s[1], s[2]))
+    exact = [s for s in ordered if not s[3]]
+    exact_begins, exact_ends = [s[0] for s in exact], np.maximum.accumulate([s[1] for s in exact]) if exact else []
+    for s in ordered:
+        k = bisect_left(exact_begins, s[1])
+        if s[3] and k and exact_ends[k - 1] > s[0]:
+            continue
         begins, ends = held.setdefault(s[2], ([], []))
         k = bisect_left(begins, s[1])
         if not k or ends[k - 1] <= s[0]:

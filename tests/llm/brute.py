@@ -222,3 +222,30 @@ def mix_targets(sizes):
         if not above:
             return share | {s: 3.0 * sizes[s] for s in full}
         full |= above
+
+
+def distance(a, b):
+    """Inserted, deleted and replaced bytes from a to b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def notices(text, all_notices):
+    """[(begin, end, label, edits)]: the best of overlapping runs of whole words that are a notice but for some edits."""
+    begins = [k for k in range(len(text)) if k == 0 or text[k - 1] == 32]
+    ends = [k for k in range(1, len(text) + 1) if k == len(text) or text[k] == 32]
+    spans = set()
+    for label, notice, most in all_notices:
+        for a in begins:
+            for b in ends:
+                if abs(b - a - len(notice)) <= most and (e := distance(notice, text[a:b])) <= most:
+                    spans.add((a, b, label, e))
+    kept = []
+    for s in sorted(spans, key=lambda s: (s[3], s[0], s[1], s[2])):
+        if not any(s[2] == o[2] and s[0] < o[1] and o[0] < s[1] for o in kept) and not any(s[3] and not o[3] and s[0] < o[1] and o[0] < s[1] for o in spans):
+            kept.append(s)
+    return sorted(kept)
