@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if o.multipart:
         m = analyze.merged(run)
         m.drop("alerts").show(truncate=False)
-        alert_rollup(alert_rows(m, "name")).show(truncate=False)
+        alert_rollup(analyze.merged_alerts(run, m)).show(truncate=False)
     else:
         top_gaps(run.stats, "file_path").select("file_name", "min_ts", "max_ts", "ltg_begin", "ltg_end").show(truncate=False)
         alert_rollup(alert_rows(run.stats, "file_path")).show(truncate=False)

@@ -69,3 +69,46 @@ def merged(parts: DataFrame, name: str, position: str | None = None) -> DataFram
     one = sums.crossJoin(F.broadcast(moments)).crossJoin(F.broadcast(n_over))  # one row each
     return one.select("name", "n_records", "n_ts", "n_dupes", "n_redactions", "min_ts", "max_ts", "n_gaps", "gap_mean_ms", "gap_var_ms", F.col("ltg.gap").alias("ltg_us"), F.col("ltg.begin").alias("ltg_begin"), F.col("ltg.end").alias("ltg_end"), "n_overlaps")
 
+
+def _event_times(parts: DataFrame, name: str) -> DataFrame:
+    """The begins and ends of the parts, dealt out by ranges of their times: _range, t, step (1, -1), name."""
+    edge = lambda c, step: F.struct(F.col(c).alias("t"), F.lit(step).alias("step"))
+    rows = parts.where("n_ts > 0").select(F.col(name).alias("name"), F.explode(F.array(edge("min_ts", 1), edge("max_ts", -1))).alias("e")).select("name", "e.t", "e.step")
+    return stored(rows.repartitionByRange("t").withColumn("_range", F.spark_partition_id()))
+
+
+def _swept(events: DataFrame) -> DataFrame:
+    """One row a time: _range, t, depth (parts open from t on), lasts (microseconds until the next time; null for the last).
+
+    Sums run inside each range; what carries over is a row for each range."""
+    at = events.groupBy("_range", "t").agg(F.sum("step").alias("step"))
+    order = Window.orderBy("_range")  # over a row for each range
+    ranges = at.groupBy("_range").agg(F.sum("step").alias("step"), F.min("t").alias("first"))
+    carried = ranges.select("_range", F.coalesce(F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_open"), F.lead("first").over(order).alias("_next"))
+    inside = Window.partitionBy("_range").orderBy("t")
+    own = at.withColumns({"_depth": F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_then": F.lead("t").over(inside)})
+    out = own.join(F.broadcast(carried), "_range")  # as many rows as tasks
+    return out.select("_range", "t", (F.col("_open") + F.col("_depth")).alias("depth"), micros_between(F.col("t"), F.coalesce("_then", "_next")).alias("lasts"))
+
+
+def depths(parts: DataFrame, name: str) -> DataFrame:
+    """depth, micros: for how long so many parts are open at once, from the first begin to the last end."""
+    return _swept(_event_times(parts, name)).where("lasts > 0").groupBy("depth").agg(F.sum("lasts").alias("micros"))
+
+
+def shared_time(parts: DataFrame, name: str) -> DataFrame:
+    """name, span_us, shared_us: a part's length, and for how much of it another part is open as well.
+
+    The time with two or more parts open runs along as a sum; a part's share is what it grows by
+    from the part's begin to its end, so no pair of parts is ever made."""
+    events = _event_times(parts, name)
+    both = F.when(F.col("depth") >= 2, F.coalesce("lasts", F.lit(0))).otherwise(0)
+    swept = stored(_swept(events).withColumn("_both", both))
+    order = Window.orderBy("_range")
+    carried = swept.groupBy("_range").agg(F.sum("_both").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy("_range").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    sums = swept.withColumn("_own", F.coalesce(F.sum("_both").over(inside), F.lit(0))).join(F.broadcast(carried), "_range")  # as many rows as tasks
+    grown = events.join(sums.select("_range", "t", (F.col("_own") + F.col("_carried")).alias("grown")), ["_range", "t"])
+    begin, end = (F.max(F.when(F.col("step") == k, F.col("grown"))) for k in (1, -1))
+    first, last = (F.max(F.when(F.col("step") == k, F.col("t"))) for k in (1, -1))
+    return grown.groupBy("name").agg(micros_between(first, last).alias("span_us"), (end - begin).alias("shared_us")).withColumnRenamed("name", name)

@@ -124,16 +124,23 @@ def _errors(records: DataFrame, stats: DataFrame, broken: DataFrame) -> DataFram
     return out.unionByName(stats.where("format is null and broken_at is null").select("file_path", *row(F.lit(None), "Medium", F.lit("No supported timestamp was found in the file"))))
 
 
+_PART = ("file_path", "file_name", "n_records", "n_ts", "min_ts", "max_ts", "gap_mean_ms", "gap_var_ms", "ltg_us", "ltg_begin", "ltg_end", "n_dupes", "n_redactions")
+
+
 def merged(run: Run) -> DataFrame:
-    """All files as parts of one log; alerts are made anew, from the errors of all files too, and overlaps count as alerts."""
-    parts = run.stats.select("file_path", "file_name", "n_records", "n_ts", "min_ts", "max_ts", "gap_mean_ms", "gap_var_ms", "ltg_us", "ltg_begin", "ltg_end", "n_dupes", "n_redactions")
-    m = multipart.merged(parts, "file_name", "file_path").withColumns({"ltg_ms": F.expr("ltg_us div 1000"), "gap_std_ms": F.sqrt("gap_var_ms")})
-    pairs = multipart.overlaps(parts, "file_name", "file_path")
-    over = pairs.agg(F.sort_array(F.collect_list(F.struct("_rank", F.lit("Medium").alias("level"), F.lit("MultipartOverlap").alias("kind"), F.concat("holder", F.lit(" overlaps "), "part").alias("message")))).alias("over"))
-    over = over.select(F.transform("over", lambda x: F.struct(x["level"].alias("level"), x["kind"].alias("kind"), x["message"].alias("message"))).alias("over"))
+    """All files as parts of one log; alerts are made anew, from the errors of all files too."""
+    m = multipart.merged(run.stats.select(*_PART), "file_name", "file_path").withColumns({"ltg_ms": F.expr("ltg_us div 1000"), "gap_std_ms": F.sqrt("gap_var_ms")})
     of_all = run.stats.agg(F.coalesce(F.max("json_errors"), F.lit(False)).alias("json_errors"), F.sum("n_errors").alias("n_errors"), F.max("one_error").alias("one_error"))
-    m = m.crossJoin(F.broadcast(of_all))
-    return alerts.with_alerts(m, json_errors="json_errors").crossJoin(F.broadcast(over)).withColumn("alerts", F.concat("over", "alerts")).drop("over")  # one row each
+    return alerts.with_alerts(m.crossJoin(F.broadcast(of_all)), json_errors="json_errors")  # one row each
+
+
+def merged_alerts(run: Run, log: DataFrame) -> DataFrame:
+    """file_path, level, kind, message: the merged log's alerts, under its name, and one for each part that
+    begins before an earlier one has ended, under the part's own path."""
+    over = multipart.overlaps(run.stats.select(*_PART), "file_path")
+    stem = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    rows = over.select(F.col("part").alias("file_path"), F.lit("Medium").alias("level"), F.lit("MultipartOverlap").alias("kind"), F.concat(stem("holder"), F.lit(" overlaps "), stem("part")).alias("message"))
+    return rows.unionByName(alerts.alert_rows(log, "name").withColumnRenamed("name", "file_path"))
 
 
 #: What a file has and a merged log doesn't.

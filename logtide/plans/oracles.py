@@ -165,6 +165,17 @@ SQL = {
         o AS (SELECT *, row_number() OVER (ORDER BY min_ts, g) AS k FROM p WHERE n_ts > 0),
         h AS (SELECT *, arg_max(struct_pack(a := max_ts, z := -k), struct_pack(a := max_ts, z := -k)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o)
         SELECT q.g::varchar AS holder, h.g::varchar AS part FROM h JOIN o q ON q.k = -h.top.z WHERE h.top.a > h.min_ts""",
+    "part_depths": f"""
+        WITH {_profile("events", "user_id", "event_id", "ts")},
+        s AS (SELECT t, sum(step) AS step FROM (SELECT min_ts AS t, 1 AS step FROM p WHERE n_ts > 0 UNION ALL SELECT max_ts, -1 FROM p WHERE n_ts > 0) GROUP BY t),
+        d AS (SELECT CAST(sum(step) OVER (ORDER BY t) AS BIGINT) AS depth, date_diff('microsecond', t, lead(t) OVER (ORDER BY t)) AS lasts FROM s)
+        SELECT depth, CAST(sum(lasts) AS BIGINT) AS micros FROM d WHERE lasts > 0 GROUP BY depth""",
+    "part_shared_time": """
+        WITH p AS (SELECT o_custkey AS g, min(o_orderdate) AS mn, max(o_orderdate) AS mx FROM orders GROUP BY 1),
+        s AS (SELECT t, sum(step) AS step FROM (SELECT mn AS t, 1 AS step FROM p UNION ALL SELECT mx, -1 FROM p) GROUP BY t),
+        d AS (SELECT t, sum(step) OVER (ORDER BY t) AS depth, date_diff('microsecond', t, lead(t) OVER (ORDER BY t)) AS lasts FROM s),
+        g AS (SELECT t, coalesce(sum(CASE WHEN depth >= 2 THEN lasts END) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grown FROM d)
+        SELECT p.g AS o_custkey, date_diff('microsecond', mn, mx) AS span_us, CAST(b.grown - a.grown AS BIGINT) AS shared_us FROM p JOIN g a ON a.t = mn JOIN g b ON b.t = mx""",
     "format_detection": "WITH f AS (SELECT event_id, event_id % 10 AS k FROM events) SELECT ("
     + str([f.name for f in _FORMATS])
     + ")[k + 1] AS format, count(*) AS n_records, min(event_id) AS first_record FROM f GROUP BY 1",

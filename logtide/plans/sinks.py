@@ -18,8 +18,8 @@ def error_lines(run: analyze.Run) -> DataFrame:
 
 
 def alert_lines(run: analyze.Run, merged: DataFrame | None = None) -> DataFrame:
-    """A line for each alert of each file, or of the merged log, which has no path but its name."""
-    rows = alerts.alert_rows(run.stats, "file_path") if merged is None else alerts.alert_rows(merged, "name").withColumnRenamed("name", "file_path")
+    """A line for each alert of each file, or of the merged log, which has no path but its name, and of its parts' overlaps."""
+    rows = alerts.alert_rows(run.stats, "file_path") if merged is None else analyze.merged_alerts(run, merged)
     return rows.select(F.format_string("File Path:%s | Level: %s | Type %s | Message: %s", "file_path", "level", "kind", "message").alias("value"))
 
 

@@ -159,6 +159,18 @@ def multipart_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multipart.overlaps(p, "user_id").select("holder", "part")
 
 
+def part_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as parts: for how long how many are open at once."""
+    return multipart.depths(profile.time_profile(events(spark, sf_dir), ["user_id"], "event_id"), "user_id")
+
+
+def part_shared_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer as parts: how much of each one's span is shared with another."""
+    o = orders(spark, sf_dir)
+    spans = o.groupBy("o_custkey").agg(F.count("o_orderdate").alias("n_ts"), F.min("o_orderdate").alias("min_ts"), F.max("o_orderdate").alias("max_ts"))
+    return multipart.shared_time(spans, "o_custkey")
+
+
 #: Number of the format -> Spark's pattern that writes a time in it
 _WRITTEN = {
     0: "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
@@ -279,6 +291,8 @@ QUERIES = {
         alert_rollup,
         multipart_merge,
         multipart_overlap,
+        part_depths,
+        part_shared_time,
         format_detection,
         json_flatten,
         json_pointer,

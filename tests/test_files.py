@@ -238,7 +238,8 @@ def test_multipart(spark, tmp_path):
     r = run(spark, tmp_path, {"a.csv": BASIC, "b.csv": BASIC.replace("2024-0", "2028-0"), "c.csv": LATER})
     m = analyze.merged(r).first()
     assert (m.n_ts, m.n_overlaps, m.name) == (9, 1, "3_SUCCESSFUL_INPUT_FILES_COMBINED")
-    assert ("MultipartOverlap", "Medium") in {(a.kind, a.level) for a in m.alerts}
+    over = [a for a in analyze.merged_alerts(r, analyze.merged(r)).collect() if a.kind == "MultipartOverlap"]
+    assert [(a.level, a.message, a.file_path.rsplit("/", 1)[1]) for a in over] == [("Medium", "a.csv overlaps c.csv", "c.csv")]
 
 
 def test_merged_log_keeps_json_errors(spark, tmp_path):

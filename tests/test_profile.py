@@ -73,6 +73,23 @@ def test_parts_in_many_ranges(spark):
     assert got == want
 
 
+def test_swept_parts(spark):
+    """Depths and shared time by brute force, minute by minute, with ties, empty and equal parts, over many ranges."""
+    rng = random.Random(6)
+    spans = [(f"p{k:03}", a, a + rng.randrange(6)) for k, a in enumerate(rng.randrange(200) for _ in range(120))]
+    at = lambda m: DAY + dt.timedelta(minutes=m)
+    df = spark.createDataFrame([(n, at(a), at(b), 1) for n, a, b in spans] + [("none", None, None, 0)], "part string, min_ts timestamp_ntz, max_ts timestamp_ntz, n_ts long")
+    open_ = [sum(a <= m < b for _, a, b in spans) for m in range(210)]
+    first, last = min(a for _, a, _ in spans), max(b for _, _, b in spans)
+    minute = 60_000_000
+    want = {}
+    for m in range(first, last):
+        want[open_[m]] = want.get(open_[m], 0) + minute
+    assert {r.depth: r.micros for r in multipart.depths(df, "part").collect()} == want
+    got = {r.part: (r.span_us, r.shared_us) for r in multipart.shared_time(df, "part").collect()}
+    assert got == {n: ((b - a) * minute, sum(open_[m] >= 2 for m in range(a, b)) * minute) for n, a, b in spans}
+
+
 def test_descending(spark):
     p = profile(spark, [15, 13, 12])
     assert p.direction == "Descending" and p.violation is None
