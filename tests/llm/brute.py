@@ -249,3 +249,40 @@ def notices(text, all_notices):
         if not any(s[2] == o[2] and s[0] < o[1] and o[0] < s[1] for o in kept) and not any(s[3] and not o[3] and s[0] < o[1] and o[0] < s[1] for o in spans):
             kept.append(s)
     return sorted(kept)
+
+
+def near_items(docs, items, width=13, slop=3):
+    """[(doc_id, n_near_items)]: items with a window whose two rarest terms stand in their distance, give or take ``slop`` words."""
+    windows = {}
+    for item, text in items:
+        w = plain_words(text)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + width]), set()).add("" if item is None else str(item))
+    count = Counter(w for _, text in docs for w in plain_words(text))
+    out = []
+    for doc_id, text in docs:
+        at = {}
+        for k, w in enumerate(plain_words(text)):
+            at.setdefault(w, []).append(k)
+        found = set()
+        for terms, own in windows.items():
+            if all(count[t] for t in terms):
+                (_, o1, t1), *rest = sorted((count[t], o, t) for o, t in enumerate(terms))
+                if not rest:
+                    found |= own if t1 in at else set()
+                elif any(abs(b - a - (rest[0][1] - o1)) <= slop for a in at.get(t1, ()) for b in at.get(rest[0][2], ())):
+                    found |= own
+        out.append((doc_id, len(found)))
+    return out
+
+
+def log_likelihood(features, grade, weight, thresholds):
+    """Of graded documents ({slot: value}), one after another."""
+    from math import exp, log
+
+    tail = lambda z, k: 1.0 if k == 0 else 0.0 if k > len(thresholds) else 1 / (1 + exp(thresholds[k - 1] - z))
+    total = 0.0
+    for own, g in zip(features, grade, strict=True):
+        z = sum(weight[s] * v for s, v in own.items())
+        total += log(tail(z, g) - tail(z, g + 1))
+    return total / len(grade)
