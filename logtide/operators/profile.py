@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import micros_between
@@ -184,6 +184,18 @@ def merged_summaries(states: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
+def store_summaries(states: DataFrame, folder: str, batch: int) -> None:
+    """Keeps the summaries of a log's next records as batch number ``batch`` of a folder. Writing a batch again replaces it."""
+    states.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch:09d}")
+
+
+def stored_profile(spark: SparkSession, folder: str, group: Sequence[str]) -> DataFrame:
+    """The columns of time_profile() for all batches of a folder, in their numbers' order, from
+    their summaries alone: no record is read again. The order column goes on from batch to batch."""
+    kept = spark.read.parquet(folder)
+    return merged_summaries(kept.withColumn("_part", F.struct("batch", "_part")).drop("batch"), group)
+
+
 def time_profile(records: DataFrame, group: Sequence[str], order: str = "idx", ts: str = "ts", block: int = BLOCK, ranges: int | None = None) -> DataFrame:
     """One row per group; null is a group of its own.
 

@@ -125,6 +125,7 @@ SQL = {
     "text_logs": _logs("text", "Record", "NULL", f"event_type || ' at ' || CASE WHEN event_id % 11 = 7 THEN 'soon' ELSE {_SECOND} END || ' by ' || user_id", "0", "event_id % 11 <> 7"),
     "time_profile_by_type": _profile_query("event_type"),
     "time_profile_by_user": _profile_query("user_id"),
+    "profile_appended": _profile_query("event_type"),
     "file_sortedness": f"""
         WITH logs AS (SELECT 'orders/' || o_orderpriority AS log, o_orderkey AS i, o_orderdate AS t FROM orders UNION ALL SELECT 'events', event_id, ts FROM events),
         {_profile("logs", "log", "i", "t")} SELECT g AS log, direction, violation IS NULL AS is_sorted, violation FROM p""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import builtin_formats
 from ..functions import durations, jsonpaths, timestamps
 from ..operators import alerts, duplicates, multipart, profile, redactions
+from ..session import scratch_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,6 +160,18 @@ def multipart_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multipart.overlaps(p, "user_id").select("holder", "part")
 
 
+def profile_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each type as four batches that arrive one after another: each is summed up alone,
+    and the profile comes from the stored summaries."""
+    e, folder = events(spark, sf_dir), scratch_dir(spark)
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    for k in range(4):
+        at = F.floor(F.coalesce("event_id", F.lit(0)) * 4 / max(1, last))
+        batch = e.where(F.greatest(F.lit(0), F.least(F.lit(3), at)) == k)
+        profile.store_summaries(profile.summaries(batch, ["event_type"], "event_id"), folder, k)
+    return _profile(profile.stored_profile(spark, folder, ["event_type"]), "event_type")
+
+
 def part_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as parts: for how long how many are open at once."""
     return multipart.depths(profile.time_profile(events(spark, sf_dir), ["user_id"], "event_id"), "user_id")
@@ -291,6 +304,7 @@ QUERIES = {
         alert_rollup,
         multipart_merge,
         multipart_overlap,
+        profile_appended,
         part_depths,
         part_shared_time,
         format_detection,

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logtide.operators import alerts, duplicates, multipart
-from logtide.operators.profile import summaries, time_profile, top_gaps
+from logtide.operators.profile import store_summaries, stored_profile, summaries, time_profile, top_gaps
 
 DAY = dt.datetime(2025, 5, 9)
 
@@ -73,6 +73,22 @@ def test_parts_in_many_ranges(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stored_batches_are_the_whole(spark, tmp_path, seed):
+    """Many stored batches and one more give what a full run gives, gaps and falls between batches included; a batch written twice counts once."""
+    rng = random.Random(seed)
+    times = [rng.randrange(500) if rng.random() > 0.2 else None for _ in range(120)]
+    times = sorted(t for t in times if t is not None) if seed == 1 else times
+    whole = log(spark, times).unionByName(log(spark, times[:7][::-1], "b"))
+    for k, at in enumerate(range(0, len(times), 12)):
+        batch = whole.where(f"idx >= {at} AND idx < {at + 12}")
+        for _ in range(1 + (k == 3)):
+            store_summaries(summaries(batch, ["file_path"], block=5, ranges=2), str(tmp_path / "kept"), k)
+    got = stored_profile(spark, str(tmp_path / "kept"), ["file_path"]).toPandas().sort_values("file_path", ignore_index=True)
+    want = time_profile(whole, ["file_path"]).toPandas().sort_values("file_path", ignore_index=True)
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_swept_parts(spark):
     """Depths and shared time by brute force, minute by minute, with ties, empty and equal parts, over many ranges."""
     rng = random.Random(6)
