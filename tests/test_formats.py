@@ -76,11 +76,11 @@ def test_redaction_rules(spark, text, names):
 
 
 def test_json_leaves():
-    value = jsonpaths.parse('{"user":{"id":42,"profile":{"name":"Alice","ok":true}},"a":[1.5,null]}')
-    assert list(jsonpaths.walk(value)) == [("/a/0", "1.5"), ("/a/1", "null"), ("/user/id", "42"), ("/user/profile/name", "Alice"), ("/user/profile/ok", "true")]
+    value = jsonpaths.parse('{"user":{"id":42,"profile":{"name":"Alice","ok":true}},"a":[1.5,null],"z":{}}')
+    assert list(jsonpaths.walk(value)) == [("/a/0", "1.5", "number"), ("/a/1", "null", "other"), ("/user/id", "42", "number"), ("/user/profile/name", "Alice", "text"), ("/user/profile/ok", "true", "other"), ("/z", None, "empty")]
     assert jsonpaths.arrow_path("a->b") == "/a/b"
 
 
 def test_json_is_strict(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":1} x',), ('{"a":NaN}',), ("",), (None,)], "s string")
-    assert [r.e is None for r in df.select(jsonpaths.json_error(F.col("s")).alias("e")).collect()] == [True, False, False, False, False]
+    assert [r.e is None for r in df.select(jsonpaths.parsed(F.col("s"))["error"].alias("e")).collect()] == [True, False, False, False, False]
