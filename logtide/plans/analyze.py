@@ -39,12 +39,12 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """files, headers, bindings and records of everything below the input."""
     files = R.list_files(spark, s.input).where("log_type is not null")
-    paths = {k: [r.file_path for r in files.where(F.col("log_type") == k).select("file_path").collect()] for k in R.READERS}  # names of files, as any reader needs them
+    kinds = {r.log_type for r in files.select("log_type").distinct().collect()}  # three at most
     headers = _empty(spark, "file_path string, first_data_row int, headers array<string>")
     bindings = _empty(spark, "file_path string, column string, column_index int, format int")
     out = _empty(spark, "file_path string, idx long, fields array<string>, matched boolean, ts timestamp_ntz, bad_json string, log_type string, fatal string")
-    if paths["csv"]:
-        raw = stored(R.csv_records(spark, paths["csv"]))
+    if "csv" in kinds:
+        raw = stored(R.csv_records(spark, s.input, "csv"))
         h = stored(detect.csv_headers(raw))
         b = stored(detect.csv_binding(raw, h, s.formats, s.timestamp_field))
         data = raw.join(h, "file_path").where("idx >= first_data_row").withColumn("idx", F.col("idx") - F.col("first_data_row"))
@@ -52,8 +52,8 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
         headers, bindings = headers.unionByName(h), bindings.unionByName(b)
         narrow = F.when(F.size("fields") <= F.col("column_index"), F.lit("has no field where the timestamp is"))
         out = out.unionByName(timed.withColumns({"bad_json": F.lit(None).cast("string"), "log_type": F.lit("csv"), "fatal": narrow}).select(*_COMMON))
-    if paths["json"]:
-        read = R.json_records(spark, paths["json"]).withColumn("_json", jsonpaths.parsed(F.col("line")))
+    if "json" in kinds:
+        read = R.json_records(spark, s.input, "json").withColumn("_json", jsonpaths.parsed(F.col("line")))
         raw = stored(read.select("*", F.col("_json.leaves").alias("leaves"), F.col("_json.error").alias("bad_json")).drop("_json"))
         b = stored(detect.json_binding(raw, s.formats, s.timestamp_field))
         joined = raw.join(b, "file_path", "left")
@@ -64,8 +64,8 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
             named = jsonpaths.kind_at(F.col("leaves"), F.lit(jsonpaths.arrow_path(s.timestamp_field)))
             fatal = F.when((F.col("idx") == 0) & (named != "text"), F.lit("has no text in the named timestamp field")).otherwise(fatal)
         out = out.unionByName(timed.withColumns({"log_type": F.lit("json"), "fatal": fatal}).select(*_COMMON))
-    if paths["text"]:
-        raw = stored(R.text_records(spark, paths["text"]))
+    if "text" in kinds:
+        raw = stored(R.text_records(spark, s.input, "text"))
         b = stored(detect.text_binding(raw, s.formats))
         timed = detect.with_times(raw.join(b, "file_path", "left"), F.col("line"), s.formats)
         bindings = bindings.unionByName(b)

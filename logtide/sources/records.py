@@ -8,6 +8,7 @@ needs no sort and no task of its own, quoted line breaks or not.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -18,6 +19,10 @@ from ..session import importable
 
 #: Splits up to which their offsets are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_SPLITS = 200_000
+#: Bytes of a file up to which it is hashed as one value.
+WHOLE = 64 << 20
+#: UTF-8's byte order mark
+MARK = b"\xef\xbb\xbf"
 SCHEMA = "file_path string, idx long, fields array<string>, line string"
 
 
@@ -34,20 +39,70 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), F.col("length").alias("size"), log_type(F.col("path")).alias("log_type"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's bytes, in lower-case hexadecimal."""
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """file_path, sha256: of each file's bytes, in lower-case hexadecimal.
+
+    Files of up to ``whole`` bytes are hashed where they are read. The bytes of larger ones pass
+    through their hash line by line, in order, so that no row holds a file: the lines are
+    sorted by their place (which spills), a file in one task, as each of its blocks is
+    hashed behind the one before. Files without a byte are no files to Spark's readers and have no row."""
+    importable(spark)
+    whole = max(whole, len(MARK))  # a mark alone is a file without a line
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole).select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").where(F.col("_metadata.file_size") > whole)
+    rows = lines.select(_path().alias("file_path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").cast("binary").alias("line"))
+    in_order = rows.repartition("file_path").sortWithinPartitions("file_path", "_split", "_row").select("file_path", "size", "line")
+    return small.unionByName(in_order.mapInArrow(_hashed, "file_path string, sha256 string"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each file whose lines pass by. Line breaks stand between them; whether one ends the file,
+    and whether a byte order mark, which the reader takes away, begins it, shows in the size."""
+    now, size, seen, plain, marked = None, 0, 0, None, None
+
+    def row():
+        left = size - seen
+        h = marked if left >= len(MARK) else plain
+        if left % len(MARK):
+            h.update(b"\n")
+        return pa.RecordBatch.from_pylist([{"file_path": now, "sha256": h.hexdigest()}])
+
+    for b in batches:
+        for path, n, line in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if path != now:
+                if now is not None:
+                    yield row()
+                now, size, seen, plain, marked = path, n, 0, hashlib.sha256(), hashlib.sha256(MARK)
+            else:
+                line = b"\n" + line
+            seen += len(line)
+            plain.update(line)
+            marked.update(line)
+    if now is not None:
+        yield row()
 
 
 def _paths(files: Sequence[str] | str) -> list[str]:
     return [files] if isinstance(files, str) else list(files)
 
 
-def numbered_lines(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
-    """file_path, idx, line of every line; a trailing carriage return goes."""
+def _path() -> Column:
+    """A row's file, spelled as list_files spells it."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+
+
+def _lines(spark: SparkSession, files: Sequence[str] | str, kind: str | None) -> DataFrame:
+    """The lines of these files or of all below a folder; of one kind, if it is given. The kind is asked of the
+    file's name, so Spark drops the other files when it plans the scan, and no list of files is held here."""
     raw = spark.read.option("recursiveFileLookup", "true").text(_paths(files), lineSep="\n")
-    rows = raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("file_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return raw if kind is None else raw.where(log_type(F.col("_metadata.file_path")) == kind)
+
+
+def numbered_lines(spark: SparkSession, files: Sequence[str] | str, kind: str | None = None) -> DataFrame:
+    """file_path, idx, line of every line; a trailing carriage return goes."""
+    raw = _lines(spark, files, kind)
+    rows = raw.select(_path().alias("file_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\r$", "").alias("line"))
     splits = rows.groupBy("file_path", "_split").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("file_path", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
@@ -56,14 +111,14 @@ def numbered_lines(spark: SparkSession, files: Sequence[str] | str) -> DataFrame
     return joined.select("file_path", (F.col("_row") - F.col("_first") + F.col("_offset")).alias("idx"), "line")
 
 
-def text_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
+def text_records(spark: SparkSession, files: Sequence[str] | str, kind: str | None = None) -> DataFrame:
     """Every line is a record, blank ones included."""
-    return numbered_lines(spark, files).select("file_path", "idx", F.array("line").alias("fields"), "line")
+    return numbered_lines(spark, files, kind).select("file_path", "idx", F.array("line").alias("fields"), "line")
 
 
-def json_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
+def json_records(spark: SparkSession, files: Sequence[str] | str, kind: str | None = None) -> DataFrame:
     """Every line that isn't blank is a record; it keeps the number of its line."""
-    return text_records(spark, files).where(F.trim("line") != "")
+    return text_records(spark, files, kind).where(F.trim("line") != "")
 
 
 def open_after(line: str, inside: bool) -> bool:
@@ -194,7 +249,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def csv_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
+def csv_records(spark: SparkSession, files: Sequence[str] | str, kind: str | None = None) -> DataFrame:
     """Ragged records; empty lines are none.
 
     A line break may stand in quotes, so where a split begins depends on all before it. Each
@@ -202,8 +257,8 @@ def csv_records(spark: SparkSession, files: Sequence[str] | str) -> DataFrame:
     begin in it; these functions are composed along each file, one row a split. Then every
     split is parsed where it lies, and only records that cross its ends are put together."""
     importable(spark)
-    raw = spark.read.option("recursiveFileLookup", "true").text(_paths(files), lineSep="\n")
-    rows = raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("file_path"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"))
+    raw = _lines(spark, files, kind)
+    rows = raw.select(_path().alias("file_path"), F.col("_metadata.file_block_start").alias("_split"), F.col("value").alias("line"))
     told = rows.mapInArrow(_quotes, "file_path string, _split long, end_out boolean, end_in boolean, n_out long, n_in long")
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, Window.currentRow)

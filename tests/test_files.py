@@ -288,3 +288,40 @@ def test_stored_needs_a_shared_folder_on_a_cluster():
     spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stored(SimpleNamespace(sparkSession=spark))
+
+
+def test_hashes_of_files_of_any_size(spark, tmp_path):
+    rnd = random.Random(8)
+    mark = b"\xef\xbb\xbf"
+    files = {"breaks": b"\n\n\n\n", "mark": mark + b"ab\ncd", "mark_and_break": mark + b"ab\ncd\n", "inner_mark": b"a\n" + mark, "mark_alone": mark, "returns": b"a\r\nb\r\n\r\n", "bytes": rnd.randbytes(300_000), "lines": b"".join(b"line %d\n" % i for i in range(20_000))}
+    for name, content in files.items():
+        (tmp_path / f"{name}.log").write_bytes(content)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+    try:
+        for whole in (R.WHOLE, 0):  # each file as one value; nearly all line by line, over splits
+            got = {r.file_path.rsplit("/", 1)[1][:-4]: r.sha256 for r in R.file_hashes(spark, str(tmp_path), whole).collect()}
+            assert got == {name: hashlib.sha256(content).hexdigest() for name, content in files.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_names_of_files_stay_as_they_are(spark, tmp_path):
+    names = ["a b.csv", "a%20b.csv", "a+b.csv", "ü#1.csv", "c d.json", "e=%.txt"]
+    r = run(spark, tmp_path, {n: '{"date": "2024-01-01 00:00:00"}\n' if n.endswith("json") else BASIC for n in names})
+    got = {x.file_path.rsplit("/", 1)[1]: x.n_ts for x in r.stats.collect()}
+    assert got == {n: 1 if n.endswith("json") else 3 for n in names}
+
+
+def test_scans_read_only_files_of_their_kind(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"{k}.csv").write_text(BASIC)
+    (tmp_path / "one.jsonl").write_text("{}\n")
+    (tmp_path / "none").write_text("no kind\n")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a file in each task
+    try:
+        tasks = {kind: R._lines(spark, str(tmp_path), kind).rdd.getNumPartitions() for kind in (*R.READERS, None)}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert tasks == {"csv": 12, "json": 1, "text": 0, None: 14}

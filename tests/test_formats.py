@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logtide.config import REDACTION_RULES, builtin_formats
 from logtide.functions import jsonpaths, timestamps
-from logtide.operators.redactions import hits
+from logtide.functions.patterns import needed
+from logtide.operators.redactions import array_hits, hits
 
 NEW_YEAR = dt.datetime(2023, 1, 1, 1)
 
@@ -75,6 +76,41 @@ def test_redaction_rules(spark, text, names):
     assert {n for n, v in got.items() if v} == names
 
 
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [
+        (r"\*{3,}", "***"),
+        (r"\bREMOVED( FOR SECURITY)?\b", "REMOVED"),
+        (r"a(?:bc)?def", "def"),
+        (r"(ab){2}c", "ababc"),
+        (r"a{2,}b", "aa"),
+        (r"(a|b)cd", "cd"),
+        (r"x[yz]+word\d", "word"),
+        # nothing is sure, or Java may read it differently
+        (r"one|two", ""),
+        (r"(?i)word", ""),
+        (r"(word)?", ""),
+        (r"word\v", ""),
+        (r"\Qa.b\E", ""),
+        (r"\b{g}word", ""),
+        (r"[a[bc]word]", ""),
+        (r"(", ""),
+        ("", ""),
+    ],
+)
+def test_needed_literal(pattern, literal):
+    assert needed(pattern) == literal
+
+
+def test_rules_find_what_their_expressions_alone_find(spark):
+    rules = (*REDACTION_RULES, ("either", "gone|hidden"), ("any case", "(?i)secret"), ("repeated", r"(ab){2,}c?"))
+    parts = ["***", "**", "XXXX", "XXX", "REDACTED", "_REDACTED", "BASE64_REDACTED", "MASKED", "DATA MASKED", "SENSITIVE", "gone", "hidden", "Secret", "abab", "ab", "<sensitiveDataRemoved>", " ", "é", ""]
+    df = spark.createDataFrame([(a + b, b) for a in parts for b in parts] + [(None, "***"), (None, None)], "s string, t string")
+    plain = F.array_compact(F.array(*[F.when(F.coalesce(F.col("s").rlike(p), F.lit(False)) | F.coalesce(F.col("t").rlike(p), F.lit(False)), F.lit(n)) for n, p in rules]))
+    got = df.select(array_hits(F.array("s", "t"), rules).alias("names"), hits([F.col("s"), F.col("t")], rules).alias("n"), plain.alias("want")).collect()
+    assert all(r.names == r.want and r.n == len(r.want) for r in got) and any(len(r.want) == 2 for r in got)
+
+
 def test_json_leaves():
     value = jsonpaths.parse('{"user":{"id":42,"profile":{"name":"Alice","ok":true}},"a":[1.5,null],"z":{}}')
     assert list(jsonpaths.walk(value)) == [("/a/0", "1.5", "number"), ("/a/1", "null", "other"), ("/user/id", "42", "number"), ("/user/profile/name", "Alice", "text"), ("/user/profile/ok", "true", "other"), ("/z", None, "empty")]
