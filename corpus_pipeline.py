@@ -64,7 +64,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents. A null or empty text is its end id alone; repeated rows are packed as often; an empty table gives none."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), least=packing.LEAST)
 
 
 def _columns_behind(out: DataFrame, docs: DataFrame, keep) -> DataFrame:

@@ -107,10 +107,10 @@ def test_repair_replaces_pairs_and_round_trips():
     assert [token_files.expand(np.array([token_files.VOCAB + k]), left, right).size for k in range(0, len(left), 7)] == lengths[::7].tolist()
 
 
-@pytest.mark.parametrize("which", ["hard", "real", "none"])
-def test_packing_places_each_id_once(request, plain_ids, which):
+@pytest.mark.parametrize(("which", "least"), [("hard", 1), ("real", 1), ("none", 1), ("hard", packing.LEAST), ("real", packing.LEAST), ("none", packing.LEAST)])
+def test_packing_places_each_id_once(request, plain_ids, which, least):
     docs = request.getfixturevalue(which)
-    got = packing.pack(docs, WORDS).collect()
+    got = packing.pack(docs, WORDS, least=least).collect()
     want = Counter((i, tuple(plain_ids(t))) for i, t in pairs(docs))
     total = sum(len(ids) * k for (_, ids), k in want.items())
     assert sum(r.length for r in got) == total
@@ -194,6 +194,40 @@ def test_packing_of_a_rare_source_takes_its_ids_not_the_rounds():
     assert length.sum() == 400_060 and (at % 10_000 == np.where(np.diff(at // 10_000, prepend=-1) > 0, 0, np.roll(at % 10_000 + length, 1))).all()
 
 
+@pytest.mark.parametrize(
+    ("lengths", "most"),
+    [
+        ([[2_000] * 200] * 20, 9),  # ids by themselves: 10.8 pieces a document
+        ([[2_000] * 5] * 1_000, 9),  # 489
+        ([[700, 1, 90, 2_500] * 400, [40, 3_000] * 50, [5_000], [7], [255], [256]], 3.5),
+        ([[3], [100, 5]], 2),  # no whole block
+    ],
+)
+def test_packing_in_blocks_keeps_documents_together(lengths, most):
+    """No gaps, each id once, few pieces, and over any run of sequences from the first one a share to within two blocks."""
+    least = packing.LEAST
+    s = packing.Schedule([str(q) for q in range(len(lengths))], [sum(n) for n in lengths], least=least)
+    q = np.repeat(np.arange(len(lengths)), [len(n) for n in lengths])
+    n, x = np.concatenate(lengths).astype(np.int64), np.concatenate([np.cumsum(n) - n for n in lengths]).astype(np.int64)
+    p = packing.pieces(s, q, x, n)
+    assert len(p["row"]) <= most * len(n)
+    order = np.lexsort((p["begin"], p["row"]))
+    begin = (p["begin"] - x[p["row"]])[order]
+    ends = begin + p["length"][order]
+    first = np.append(True, np.diff(p["row"][order]) > 0)
+    assert (begin == np.where(first, 0, np.roll(ends, 1))).all() and (ends[np.append(first[1:], True)] == n).all()
+    order = np.lexsort((p["offset"], p["sequence_id"]))
+    first = np.append(True, np.diff(p["sequence_id"][order]) > 0)
+    assert (p["offset"][order] == np.where(first, 0, np.roll((p["offset"] + p["length"])[order], 1))).all()
+    size = np.bincount(p["sequence_id"], p["length"]).astype(int)
+    assert (size[: s.full] == 4_096).all() and all(m and not m & (m - 1) for m in size[s.full :].tolist())
+    given = np.zeros((len(size), len(lengths)))
+    np.add.at(given, (p["sequence_id"], q[p["row"]]), p["length"])
+    mixed = s.blocks * least // 4_096 - 1  # sequences before the queues' rests
+    due = np.arange(1, mixed + 1)[:, None] * 4_096 * s.share
+    assert (abs(given[: max(mixed, 0)].cumsum(axis=0) - due) <= 2 * least).all()
+
+
 @pytest.mark.parametrize("which", ["hard", "real", "none"])
 def test_license_base(request, which):
     docs = request.getfixturevalue(which)
