@@ -5,8 +5,9 @@ learning fold ties to that label (``token_labels``: by word or stem, on distinct
 texts) are the labelled tokens. The field has two states. A token's features are
 hashed into one table of weights: its word, its stems, its endings and the words on
 either side; there are weights for the transitions as well. It is trained to the
-likelihood of the labelled tokens by Adam with exact forward-backward gradients, on
-``TOXIC`` + ``CLEAN`` labelled documents at most, chosen by the hash of their id.
+likelihood of the labelled tokens by Adam with exact forward-backward gradients over
+whole documents, ``TOXIC`` + ``CLEAN`` labelled ones at most, of any length, chosen by
+the hash of their id until either kind has ``SAMPLE_BYTES`` bytes.
 
 For a document, forward-backward over its whole token sequence gives every token's
 probability of the toxic state. The highest of them and the number of those above
@@ -37,7 +38,10 @@ from . import common as C
 TOXIC, CLEAN = 800, 1_600
 SLOTS = 1 << 18
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-SEGMENT = 256
+#: Bytes of text of either kind that the learning sample takes (and the document that reaches them, whole).
+SAMPLE_BYTES = 8 << 20
+#: Maps that are put together in a block; tokens whose messages are computed at once.
+WIDTH, PIECE = 64, 1 << 18
 _core = re.compile(rb"[!-/:-@\[-`{-~]*(.*?)[!-/:-@\[-`{-~]*", re.S)
 
 
@@ -82,25 +86,54 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def applied(maps: np.ndarray, r: float) -> np.ndarray:
+    """The value after each of the maps r -> (a + b r) / (c + d r), one after another; ``maps`` holds a, b, c and d as rows.
+
+    The maps of a block are put together side by side with those of all other blocks, and the
+    blocks follow one another in the same way: about WIDTH steps for each power of WIDTH."""
+    n = maps.shape[1]
+    if n <= WIDTH:
+        out = np.empty(n)
+        for k, (a, b, c, d) in enumerate(maps.T.tolist()):
+            out[k] = r = (a + b * r) / (c + d * r)
+        return out
+    same = np.repeat([[0.0], [1.0], [1.0], [0.0]], -n % WIDTH, axis=1)  # leaves a value as it is
+    steps = np.ascontiguousarray(np.concatenate([maps, same], axis=1).reshape(4, -1, WIDTH).transpose(2, 0, 1))
+    whole = steps[0]
+    for a, b, c, d in steps[1:]:
+        p, q, u, v = whole
+        whole = np.stack([a * u + b * p, a * v + b * q, c * u + d * p, c * v + d * q])
+        whole /= whole.sum(axis=0)
+    now = np.concatenate([[r], applied(whole, r)[:-1]])
+    out = np.empty((WIDTH, len(now)))
+    for k, (a, b, c, d) in enumerate(steps):
+        out[k] = now = (a + b * now) / (c + d * now)
+    return out.T.reshape(-1)[:n]
+
+
 def messages(e: np.ndarray, n: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages as ratios toxic : benign, for all sequences side by side.
-
-    e: log odds of the tokens of all sequences, one after another; n: tokens of each."""
-    first = np.cumsum(n) - n
-    order = np.argsort(-n, kind="stable")
-    first, n = first[order], n[order]
-    length = int(n[0]) if len(n) else 0
-    active = np.searchsorted(-n, -np.arange(length), side="left")  # sequences longer than i
+    """Forward and backward messages as ratios toxic : benign, of whole sequences of any length.
+
+    e: log odds of the tokens of all sequences, one after another; n: tokens of each. A message
+    is a map of the one before it; at the ends of a sequence the map is a constant. PIECE tokens at a time."""
     x, t, s = np.exp(np.clip(e, -40, 40)), np.exp(step), np.exp(start)
-    fwd, bwd = np.empty(len(e)), np.ones(len(e))
-    for i in range(length):
-        at = first[: active[i]] + i
-        r = fwd[at - 1] if i else None
-        fwd[at] = x[at] * ((t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0]) if i else s[1] / s[0])
-    for i in range(length - 2, -1, -1):
-        at = first[: active[i + 1]] + i
-        r = bwd[at + 1] * x[at + 1]
-        bwd[at] = (t[1, 0] + r * t[1, 1]) / (t[0, 0] + r * t[0, 1])
+    heads = np.zeros(len(e) + 1, bool)
+    heads[(np.cumsum(n) - n)[n > 0]] = True
+    heads[-1] = True  # what follows the last token
+    fwd, bwd = np.empty(len(e)), np.empty(len(e))
+    r = 1.0
+    for i in range(0, len(e), PIECE):
+        own, first = x[i : i + PIECE], heads[:-1][i : i + PIECE]
+        maps = np.stack([own * np.where(first, s[1], t[0, 1]), own * np.where(first, 0.0, t[1, 1]), np.where(first, s[0], t[0, 0]), np.where(first, 0.0, t[1, 0])])
+        fwd[i : i + PIECE] = applied(maps, r)
+        r = fwd[min(i + PIECE, len(e)) - 1]
+    r = 1.0
+    for i in range(len(e), 0, -PIECE):
+        j = max(0, i - PIECE)
+        after, last = np.concatenate([x[j + 1 : i + 1], np.ones(int(i == len(e)))]), heads[j + 1 : i + 1]
+        maps = np.stack([np.where(last, 1.0, t[1, 0]), np.where(last, 0.0, t[1, 1] * after), np.where(last, 1.0, t[0, 0]), np.where(last, 0.0, t[0, 1] * after)])
+        bwd[j:i] = applied(maps[:, ::-1], r)[::-1]
+        r = bwd[j]
     return fwd, bwd
 
 
@@ -177,8 +210,7 @@ def train(docs: list[tuple[list[bytes], int]], epochs: int = 40, rate: float = 0
         return None
     vocabulary = toxic_vocabulary(docs)
     tags = [token_labels(w, label, vocabulary) for w, label in docs]
-    lengths = [min(SEGMENT, len(w) - a) for w, _ in docs for a in range(0, len(w), SEGMENT)]
-    n = np.array(lengths, np.int64)
+    n = np.array([len(w) for w, _ in docs], np.int64)
     y = np.array([t for ts in tags for t in ts], float)
     number: dict[bytes, int] = {}
     token = np.array([number.setdefault(w, len(number)) for ws, _ in docs for w in ws], np.int64)
@@ -211,12 +243,10 @@ def train(docs: list[tuple[list[bytes], int]], epochs: int = 40, rate: float = 0
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
             target += rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-6)
     field = Field(weight, step, start, np.zeros(3))
-    whole = np.array([len(w) for w, _ in docs], np.int64)
     e = np.bincount(own_word, weight[own_slot], size)[token]
-    inner = _inner(whole)
     e[inner] += weight[before][token[inner - 1]]
     e[inner - 1] += weight[after][token[inner]]
-    highest, count = per_document(marginals(*messages(e, whole, step, start)), whole)
+    highest, count = per_document(marginals(*messages(e, n, step, start)), n)
     field.curve = _curve(highest, count, np.array([label for _, label in docs], float))
     return field
 
@@ -243,13 +273,29 @@ def _curve(highest: np.ndarray, count: np.ndarray, y: np.ndarray, rounds: int =
     return b
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, toxic: int = TOXIC, clean: int = CLEAN, longest: int = 100_000) -> list[tuple[list[bytes], int]]:
-    """Tokens and labels of the learning fold: ``toxic`` + ``clean`` documents of up to ``longest`` characters at most."""
+def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, toxic: int = TOXIC, clean: int = CLEAN, most: int = SAMPLE_BYTES) -> list[tuple[list[bytes], int]]:
+    """Tokens and labels of the learning fold: ``toxic`` + ``clean`` documents at most, whole, chosen by hashes of their ids and then of both id and text.
+
+    A kind ends with the document that brings it to ``most`` bytes, so the driver holds twice that and two documents.
+    Rows that repeat id, label and text count once; first numbers are gathered, then the texts of those chosen."""
     rows = labels.where(C.crc_fold(id_col, FOLDS) != HELD_OUT).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_label"))
-    pick = lambda label, most: rows.where(F.col("_label") == label).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
-    picked = F.broadcast(pick(1, toxic).unionByName(pick(0, clean)))  # toxic + clean pairs of numbers at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= longest)
-    got = texts.join(picked, "_id").select("_id", "_label", "_text").collect()
+    pick = lambda df, label, n, *by: df.where(F.col("_label") == label).distinct().orderBy(F.xxhash64("_id", *by), "_id", *by).limit(n)
+    picked = F.broadcast(pick(rows, 1, toxic).unionByName(pick(rows, 0, clean)))  # toxic + clean pairs of numbers at most
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    texts = texts.withColumns({"_size": F.octet_length("_text").cast("long"), "_hash": F.xxhash64("_text")})
+    numbers = C.stored(texts.join(picked, "_id").select("_id", "_label", "_hash", "_size"))
+    chosen = []
+    for label, n in ((1, toxic), (0, clean)):
+        total = 0
+        for r in pick(numbers, label, n, "_hash").collect():
+            if total < most:
+                chosen.append((r["_id"], r["_label"], r["_hash"]))
+            total += r["_size"]
+    C.dropped(numbers)
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, numbers.select("_id", "_label", "_hash").schema)
+    got = texts.join(F.broadcast(wanted), ["_id", "_hash"]).select("_id", "_label", "_hash", "_text").dropDuplicates(["_id", "_label", "_hash"]).collect()
     got.sort(key=lambda r: (r._id, r._label, r._text))
     return [([core(c) for c in r._text.encode().split()], r._label) for r in got]
 

@@ -69,6 +69,63 @@ def test_forward_backward_is_exact():
         at += m
 
 
+@pytest.mark.parametrize("piece", [1 << 18, 1_000])
+def test_messages_of_long_sequences(monkeypatch, piece):
+    """Against one step a token, for sequences far longer than a block, and for pieces that cut them."""
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    rng = np.random.default_rng(5)
+    n = np.array([0, 1, 20_011, 0, 3, 64, 4_096, 700, 0])
+    step, start, e = rng.normal(size=(2, 2)), rng.normal(size=2), 12 * rng.normal(size=int(n.sum()))
+    fwd, bwd = toxicity.messages(e, n, step, start)
+    t, at = np.exp(step), 0
+    for m in n.tolist():
+        x, f, b = np.exp(np.clip(e[at : at + m], -40, 40)), np.empty(m), np.ones(m)
+        for k in range(m):
+            f[k] = x[k] * ((t[0, 1] + f[k - 1] * t[1, 1]) / (t[0, 0] + f[k - 1] * t[1, 0]) if k else np.exp(start[1] - start[0]))
+        for k in range(m - 2, -1, -1):
+            b[k] = (t[1, 0] + x[k + 1] * b[k + 1] * t[1, 1]) / (t[0, 0] + x[k + 1] * b[k + 1] * t[0, 1])
+        np.testing.assert_allclose(fwd[at : at + m], f, rtol=1e-8)
+        np.testing.assert_allclose(bwd[at : at + m], b, rtol=1e-8)
+        at += m
+
+
+def test_messages_of_ten_million_tokens():
+    n = np.array([10_000_000])
+    p = toxicity.marginals(*toxicity.messages(np.tile([-4.0, 3.0, -4.0, -4.0], n[0] // 4), n, np.array([[0.0, -2.0], [0.0, 1.0]]), np.array([0.0, -3.0])))
+    assert np.isfinite(p).all() and p[1_000_001] == pytest.approx(p[9_000_001]) and p[1_000_001] > p[1_000_002]
+
+
+def test_learning_sample_is_bounded_by_rows_and_bytes_not_by_length(spark):
+    """Long texts teach; repeated rows count once; a kind ends with the document that reaches the bytes."""
+    ids = [i for i in range(400) if brute.fold(i, 3) != 1]
+    long_text = "word " * 60_000
+    docs = spark.createDataFrame([(i, long_text if i == ids[0] else f"text {i}") for i in ids] * 2 + [(ids[1], "another text of the id"), (ids[2], None)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(k % 2 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    everything = toxicity.learning_sample(docs, labels, "doc_id", "text")
+    assert len(everything) == len(ids) + 1 and max(len(w) for w, _ in everything) == 60_000
+    few = toxicity.learning_sample(docs, labels, "doc_id", "text", toxic=10, clean=20)
+    assert sorted(label for _, label in few) == [0] * 20 + [1] * 10
+    small = toxicity.learning_sample(docs, labels, "doc_id", "text", most=90)
+    for kind in (0, 1):
+        sizes = [len(" ".join(w.decode() for w in words)) for words, label in small if label == kind]
+        assert sum(sizes) >= 90 and sum(sizes) - max(sizes) < 90
+    many = spark.range(500).selectExpr(f"{ids[3]}L AS doc_id", "concat('own ', id) AS text")
+    assert len(toxicity.learning_sample(many, labels, "doc_id", "text", toxic=10, clean=20)) in (10, 20)
+
+
+def test_field_knows_more_than_its_word_list(larger):
+    """On held-out labels the field ranks better than the number of listed words, and marks fewer clean texts."""
+    docs, labels = larger
+    sample = toxicity.learning_sample(docs, labels, "doc_id", "text")
+    listed = toxicity.toxic_vocabulary(toxicity.distinct_texts(sample))
+    got = toxicity.tag(docs, toxicity.train(sample), carry=("text",)).join(labels, "doc_id").where("held_out").toPandas()
+    counts = np.array([sum(toxicity.token_labels([toxicity.core(w) for w in (t or "").encode().split()], 1, listed)) for t in got["text"]])
+    y, s = got["toxic"].to_numpy(), got["score"].to_numpy()
+    assert auc(s, y) > auc(counts, y) + 0.01
+    hit = s >= toxicity.CUT
+    assert (hit & (y == 0)).sum() < ((counts >= 1) & (y == 0)).sum()
+
+
 def test_toxicity_on_held_out_labels(larger):
     docs, labels = larger
     got = toxicity.tag(docs, toxicity.fit_field(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
