@@ -122,7 +122,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
             got = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield C.out_batch({"id": pa.int64(), "grade": pa.int32(), "n": pa.int64(), "slots": pa.binary(), "counts": pa.binary()}, id=C.column(part, "_id").cast(pa.int64()), grade=C.column(part, "_grade"), n=n, slots=[s.astype("<i4").tobytes() for s, _ in got], counts=[c.astype("<i4").tobytes() for _, c in got])
 
-    got = C.map_arrow(texts, count, "id long, grade int, n long, slots binary, counts binary").toPandas().sort_values(["id", "grade", "n"])
+    counted = C.map_arrow(texts, count, "id long, grade int, n long, slots binary, counts binary")
+    got = counted.orderBy(F.xxhash64("id", "slots", "counts"), "id", "grade", "n").limit(sample).toPandas().sort_values(["id", "grade", "n"])  # an id may repeat
     if not len(got) or got["grade"].nunique() < 2:
         return None
     slots = [np.frombuffer(s, "<i4") for s in got["slots"]]

@@ -9,8 +9,9 @@ down, so that the whole ensemble keeps it.
 
 Defined results: a null or empty text has no words and fails the base rules;
 words are separated by the six ASCII blanks only; each row is judged on its own,
-repeated or not; without graded rows of both grades, all documents that pass the
-base rules are kept; an empty table gives no rows; further columns are ignored.
+repeated or not; without graded rows of both grades, or with fewer than
+``LEAST_GRADED``, there is no model and all documents that pass the base rules are
+kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE = 20_000
+#: Graded rows without which no trees are grown.
+LEAST_GRADED = 20
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 FEATURES = ("log_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "punct_ratio", "distinct_ratio", "end_ratio", "longest_word")
@@ -172,15 +175,16 @@ def graded_sample(labels: DataFrame, id_col: str, grade, sample: int) -> DataFra
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Trees | None:
     picked = F.broadcast(graded_sample(labels, id_col, F.col("quality"), sample))  # ``sample`` pairs of numbers at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("_grade", "text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("_id", "_grade", F.xxhash64("text").alias("_hash"), "text")
 
     def measure(batches):
         for part, texts in C.blocks(batches, "text"):
-            yield C.out_batch({"grade": pa.float64(), "x": pa.list_(pa.float64())}, grade=C.column(part, "_grade"), x=list(statistics(texts)[1]))
+            yield C.out_batch({"id": pa.int64(), "grade": pa.float64(), "hash": pa.int64(), "x": pa.list_(pa.float64())}, id=C.column(part, "_id").cast(pa.int64()), grade=C.column(part, "_grade"), hash=C.column(part, "_hash"), x=list(statistics(texts)[1]))
 
-    got = C.map_arrow(rows, measure, "grade double, x array<double>").toPandas()
+    measured = C.map_arrow(rows, measure, "id long, grade double, hash long, x array<double>")
+    got = measured.orderBy(F.xxhash64("id", "hash"), "id", "grade", "hash").limit(sample).toPandas()  # an id may repeat
     y = (got["grade"].to_numpy() >= 0.5).astype(float)
-    if len(y) < 20 or y.min() == y.max():
+    if len(y) < LEAST_GRADED or y.min() == y.max():
         return None
     x = np.stack(got["x"].to_numpy())
     order = np.lexsort([y, *x.T])  # the rows' order doesn't matter

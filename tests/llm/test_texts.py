@@ -303,6 +303,43 @@ def test_trees_are_monotone_and_useful():
         assert (sign * np.diff(trees.score(grid).reshape(50, 40), axis=1) >= -1e-12).all()
 
 
+def test_flat_trees_are_the_trees_walked_one_by_one(real, labels):
+    """Scores and verdicts on real labels against a walk from node to node."""
+    trees = quality_rules.fit_rules(real, labels)
+    assert trees is not None
+
+    def plain(row):
+        raw = trees.base
+        for k in trees.roots.tolist():
+            while trees.left[k] != k:
+                k = int(trees.left[k] if row[trees.feature[k]] <= trees.threshold[k] else trees.right[k])
+            raw += trees.value[k]
+        return 1 / (1 + np.exp(-raw))
+
+    got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(real, trees).collect()}
+    for i, t in pairs(real):
+        counts, x = quality_rules.statistics([None if t is None else t.encode()])
+        r = got[i, int(counts[0][0])]
+        assert r.score == pytest.approx(plain(x[0]), rel=1e-9)
+        assert r.kept == (not r.base_failed and r.score >= quality_rules.KEEP_AT)
+
+
+def test_without_enough_grades_the_base_rules_decide(spark, real, labels):
+    for few in (labels.limit(0), labels.where("quality = 1"), labels.orderBy("doc_id").limit(quality_rules.LEAST_GRADED - 1)):
+        assert quality_rules.fit_rules(real, few) is None
+    assert not quality_rules.judge(real, None).where("kept = base_failed").count()
+
+
+def test_graded_sample_holds_with_repeated_ids(spark, real, labels, monkeypatch):
+    """An id that repeats with many texts brings no more rows to the fit than the sample."""
+    sizes = []
+    monkeypatch.setattr(quality_rules, "fit_trees", lambda x, y, m: sizes.append(len(y)))
+    graded = labels.where("quality is not null").limit(40)
+    many = real.select("doc_id", "text").unionByName(graded.select("doc_id").join(spark.range(50).selectExpr("concat('own text ', id) AS text")))
+    quality_rules.fit_rules(many, graded, sample=600)
+    assert sizes == [600]
+
+
 def test_hard_rows_hold_the_cases():
     rows = hard_rows()
     assert any(r[1] is None for r in rows) and any(r[0] is None for r in rows) and len(rows) != len(set(rows))
