@@ -58,9 +58,12 @@ def text_binding(records: DataFrame, formats: Sequence[TimestampFormat]) -> Data
     return hit.groupBy("file_path").agg(F.min_by("format", "idx").alias("format")).select("file_path", F.lit("Record").alias("column"), F.lit(0).alias("column_index"), "format")
 
 
-def with_times(records: DataFrame, value, formats: Sequence[TimestampFormat]) -> DataFrame:
-    """records (with their file's ``format``) and matched, ts: the value read in that format."""
+def with_times(records: DataFrame, value, formats: Sequence[TimestampFormat], bindings: DataFrame) -> DataFrame:
+    """records (with their file's ``format``) and matched, ts: the value read in that format. Only formats that
+    ``bindings``, one row a file, holds are made into code."""
     out = F.struct(F.lit(False).alias("matched"), F.lit(None).cast("timestamp_ntz").alias("ts"))
-    for k, fmt in enumerate(formats):
+    used = sorted(r.format for r in bindings.select("format").distinct().collect())  # one row for each format at most
+    for k in used:
+        fmt = formats[k]
         out = F.when(F.col("format") == k, timestamps.extracted(value, fmt)).otherwise(out)
     return records.withColumn("_x", out).withColumns({"matched": F.col("_x.matched"), "ts": F.col("_x.ts")}).drop("_x")

@@ -44,11 +44,11 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
     bindings = _empty(spark, "file_path string, column string, column_index int, format int")
     out = _empty(spark, "file_path string, idx long, fields array<string>, matched boolean, ts timestamp_ntz, bad_json string, log_type string, fatal string")
     if "csv" in kinds:
-        raw = stored(R.csv_records(spark, s.input, "csv"))
+        raw = R.csv_records(spark, s.input, "csv")
         h = stored(detect.csv_headers(raw))
         b = stored(detect.csv_binding(raw, h, s.formats, s.timestamp_field))
         data = raw.join(h, "file_path").where("idx >= first_data_row").withColumn("idx", F.col("idx") - F.col("first_data_row"))
-        timed = detect.with_times(data.join(b, "file_path", "left"), F.try_element_at("fields", F.col("column_index") + 1), s.formats)
+        timed = detect.with_times(data.join(b, "file_path", "left"), F.try_element_at("fields", F.col("column_index") + 1), s.formats, b)
         headers, bindings = headers.unionByName(h), bindings.unionByName(b)
         narrow = F.when(F.size("fields") <= F.col("column_index"), F.lit("has no field where the timestamp is"))
         out = out.unionByName(timed.withColumns({"bad_json": F.lit(None).cast("string"), "log_type": F.lit("csv"), "fatal": narrow}).select(*_COMMON))
@@ -57,7 +57,7 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
         raw = stored(read.select("*", F.col("_json.leaves").alias("leaves"), F.col("_json.error").alias("bad_json")).drop("_json"))
         b = stored(detect.json_binding(raw, s.formats, s.timestamp_field))
         joined = raw.join(b, "file_path", "left")
-        timed = detect.with_times(joined.withColumn("value", jsonpaths.leaf(F.col("leaves"), F.col("column"))), F.col("value"), s.formats)
+        timed = detect.with_times(joined.withColumn("value", jsonpaths.leaf(F.col("leaves"), F.col("column"))), F.col("value"), s.formats, b)
         bindings = bindings.unionByName(b)
         fatal = F.when(jsonpaths.kind_at(F.col("leaves"), F.col("column")).isin("other", "container"), F.lit("has a timestamp field that is neither text nor a number"))
         if s.timestamp_field is not None:
@@ -67,7 +67,7 @@ def load(spark: SparkSession, s: Settings) -> tuple[DataFrame, DataFrame, DataFr
     if "text" in kinds:
         raw = stored(R.text_records(spark, s.input, "text"))
         b = stored(detect.text_binding(raw, s.formats))
-        timed = detect.with_times(raw.join(b, "file_path", "left"), F.col("line"), s.formats)
+        timed = detect.with_times(raw.join(b, "file_path", "left"), F.col("line"), s.formats, b)
         bindings = bindings.unionByName(b)
         out = out.unionByName(timed.withColumns({"bad_json": F.lit(None).cast("string"), "log_type": F.lit("text"), "fatal": F.lit(None).cast("string")}).select(*_COMMON))
     return stored(files), stored(headers), stored(bindings), stored(out)
