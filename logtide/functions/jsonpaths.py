@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,40 +55,56 @@ def scalar_text(value) -> str:
     return text
 
 
-def walk(value, path: str = "", level: int = 0) -> Iterator[tuple[str, str | None, str]]:
+def walk(value) -> Iterator[tuple[str, str | None, str]]:
     """(path, text, kind) of every scalar, depth first, keys in order; kind: text, number, other.
     An object or array without any has no text, and the kind empty."""
+    out: list[tuple[str, str | None, str]] = []
+    _add_leaves(out, value)
+    return iter(out)
+
+
+def _add_leaves(out: list[tuple[str, str | None, str]], value, path: str = "", level: int = 0) -> None:
     if not isinstance(value, (dict, list)):
-        yield path, scalar_text(value), "text" if isinstance(value, str) else "other" if value is None or isinstance(value, bool) else "number"
+        out.append((path, scalar_text(value), "text" if isinstance(value, str) else "other" if value is None or isinstance(value, bool) else "number"))
         return
     if not value:
-        yield path, None, "empty"
+        out.append((path, None, "empty"))
     if level == DEPTH:
         raise ValueError("recursion limit exceeded")
     for k, v in sorted(value.items()) if isinstance(value, dict) else enumerate(value):
         if isinstance(value, dict):
             k.encode()
-        yield from walk(v, f"{path}/{k}", level + 1)
+        _add_leaves(out, v, f"{path}/{k}", level + 1)
 
 
-def taken_apart(line: str | None) -> dict:
+def taken_apart(line: str | None) -> tuple[list[tuple[str, str | None, str]] | None, str | None]:
     """leaves and error of a line, one of them null; a null line is an empty one."""
     try:
-        return {"leaves": [{"path": p, "value": v, "kind": k} for p, v, k in walk(parse(line or ""))], "error": None}
+        return list(walk(parse(line or ""))), None
     except UnicodeEncodeError:
-        return {"leaves": None, "error": "lone surrogate"}
+        return None, "lone surrogate"
     except ValueError as e:
-        return {"leaves": None, "error": str(e)}
+        return None, str(e)
 
 
-def _parsed(lines: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([taken_apart(line) for line in lines], columns=["leaves", "error"])
+def _parsed(lines: pa.Array) -> pa.Array:
+    all_, ends, errors = [], [0], []
+    for line in lines.to_numpy(zero_copy_only=False):
+        found, error = taken_apart(line)
+        all_ += found or ()
+        ends.append(len(all_))
+        errors.append(error)
+    columns = zip(*all_, strict=True) if all_ else ((), (), ())
+    leaf = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "value", "kind"])
+    broken = pa.array([e is not None for e in errors], pa.bool_())
+    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf, mask=broken)
+    return pa.StructArray.from_arrays([found, pa.array(errors, pa.string())], names=["leaves", "error"])
 
 
 def parsed(line: Column) -> Column:
     """Leaves (null where the text isn't JSON) and error (null where it is)."""
     importable(SparkSession.active())
-    return F.pandas_udf(_parsed, PARSED)(line)
+    return F.arrow_udf(_parsed, PARSED)(line)
 
 
 def leaves(line: Column) -> Column:
