@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import HEADER_RECORDS, TimestampFormat
 from ..functions import jsonpaths, timestamps
+from ..session import stored
+
+#: Lines of a text file that are searched for a format before all of its lines are.
+TEXT_HEAD = 100
 
 
 def csv_headers(records: DataFrame) -> DataFrame:
@@ -52,10 +56,18 @@ def json_binding(records: DataFrame, formats: Sequence[TimestampFormat], field:
     return out.where("hit is not null").select("file_path", F.col("hit.column").alias("column"), F.lit(0).alias("column_index"), F.col("hit.format").alias("format"))
 
 
-def text_binding(records: DataFrame, formats: Sequence[TimestampFormat]) -> DataFrame:
-    """From the first line that holds any format."""
-    hit = records.withColumn("format", timestamps.first_format(F.col("line"), formats)).where("format is not null")
-    return hit.groupBy("file_path").agg(F.min_by("format", "idx").alias("format")).select("file_path", F.lit("Record").alias("column"), F.lit(0).alias("column_index"), "format")
+def text_binding(records: DataFrame, formats: Sequence[TimestampFormat], head: int = TEXT_HEAD) -> DataFrame:
+    """From the first line that holds any format. All lines are searched only of files whose first ``head`` hold none."""
+    early = stored(_first_line(records.where(F.col("idx") < head), formats))
+    late = _first_line(records.where(F.col("idx") >= head).join(early, "file_path", "left_anti"), formats)
+    return early.unionByName(late).select("file_path", F.lit("Record").alias("column"), F.lit(0).alias("column_index"), "format")
+
+
+def _first_line(records: DataFrame, formats: Sequence[TimestampFormat]) -> DataFrame:
+    """file_path, format of the first of these lines that holds any. The search stays in the aggregate: a filter would move in front of joins."""
+    hit = records.withColumn("format", timestamps.first_format(F.col("line"), formats))
+    first = F.min(F.when(F.col("format").isNotNull(), F.struct("idx", "format")))
+    return hit.groupBy("file_path").agg(first.alias("_hit")).where("_hit is not null").select("file_path", F.col("_hit.format").alias("format"))
 
 
 def with_times(records: DataFrame, value, formats: Sequence[TimestampFormat], bindings: DataFrame) -> DataFrame:
